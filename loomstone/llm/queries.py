@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import lookalikes
+from loomstone.llm import lookalikes, residue
 from loomstone.session import table
 
 TEXT_FIELDS = ["商品标题", "sku名称", "店铺名称"]
@@ -21,5 +21,19 @@ def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.canonical(table(spark, sf_dir, "taobao"), ["row_id"], TEXT_FIELDS)
 
 
-QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical}
+def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that are wholly or partly no content, with the kind of residue."""
+    shop = residue.find(table(spark, sf_dir, "taobao"), "row_id", "商品标题")
+    pages = residue.find(table(spark, sf_dir, "approved_browser_template"), "record_id", "title")
+    named = [(shop, "taobao", "row_id"), (pages, "approved_browser_template", "record_id")]
+    one, two = (d.select(F.lit(t).alias("tbl"), F.col(k).alias("row_key"), "kind") for d, t, k in named)
+    return one.unionByName(two)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose title is wholly or partly no content."""
+    return p2_kinds(spark, sf_dir).select("tbl", "row_key")
+
+
+QUERIES = {"p2_found": p2_found, "p2_kinds": p2_kinds, "p5_found": p5_found, "p5_canonical": p5_canonical}
 ORACLES: dict[str, str] = {}
