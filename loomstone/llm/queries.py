@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import lookalikes, residue
+from loomstone.llm import lookalikes, products, residue
 from loomstone.session import table
 
 TEXT_FIELDS = ["商品标题", "sku名称", "店铺名称"]
@@ -35,5 +35,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_kinds(spark, sf_dir).select("tbl", "row_key")
 
 
-QUERIES = {"p2_found": p2_found, "p2_kinds": p2_kinds, "p5_found": p5_found, "p5_canonical": p5_canonical}
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.classes(table(spark, sf_dir, "taobao"), "row_id", "商品标题", "sku名称", "卖家昵称", "received_at")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of listings of different sellers that offer the same product."""
+    return products.pairs(_classes(spark, sf_dir))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing of a product with its class and the number of listings of other sellers in it."""
+    return products.links(_classes(spark, sf_dir)).withColumnRenamed("_key", "row_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_kinds": p2_kinds, "p5_found": p5_found, "p5_canonical": p5_canonical}
 ORACLES: dict[str, str] = {}
