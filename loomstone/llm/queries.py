@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import lookalikes, products, residue
+from loomstone.llm import lookalikes, mixing, packing, products, residue
 from loomstone.session import table
 
 TEXT_FIELDS = ["商品标题", "sku名称", "店铺名称"]
@@ -49,5 +49,29 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.links(_classes(spark, sf_dir)).withColumnRenamed("_key", "row_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_kinds": p2_kinds, "p5_found": p5_found, "p5_canonical": p5_canonical}
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents in a container of each kind."""
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "pack_bins"))
+
+
+def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used and room left per kind."""
+    return packing.usage(p7_packed(spark, sf_dir))
+
+
+def _mixture(spark: SparkSession, sf_dir: str, **options) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source", "lang", mixing.DOMAINS, **options)
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The uses of texts that make up the mixture with the target shares."""
+    return _mixture(spark, sf_dir).rows()
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares the mixture reaches."""
+    return _mixture(spark, sf_dir).shares()
+
+
+QUERIES = {"p7_packed": p7_packed, "p7_usage": p7_usage, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_kinds": p2_kinds, "p5_found": p5_found, "p5_canonical": p5_canonical}
 ORACLES: dict[str, str] = {}
