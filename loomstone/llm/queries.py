@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import lookalikes, mixing, packing, products, residue
+from loomstone.llm import abuse, lookalikes, mixing, packing, products, residue
 from loomstone.session import table
 
 TEXT_FIELDS = ["商品标题", "sku名称", "店铺名称"]
@@ -73,5 +73,26 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).shares()
 
 
-QUERIES = {"p7_packed": p7_packed, "p7_usage": p7_usage, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_kinds": p2_kinds, "p5_found": p5_found, "p5_canonical": p5_canonical}
+#: Expected grade from which a text counts as abusive.
+ABUSIVE = 0.3
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its severity and its worst sentence."""
+    docs = table(spark, sf_dir, "documents")
+    model = abuse.train(docs, table(spark, sf_dir, "review_labels"), "doc_id", "text", "abusive")
+    return abuse.score(docs, "doc_id", "text", model, ["source"])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that insult, threaten, demean or offer sex in their own voice."""
+    return p9_scores(spark, sf_dir).where(F.col("severity") >= ABUSIVE).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of abusive documents per source."""
+    return abuse.rates(p9_scores(spark, sf_dir), "source", ABUSIVE)
+
+
+QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p7_packed": p7_packed, "p7_usage": p7_usage, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_kinds": p2_kinds, "p5_found": p5_found, "p5_canonical": p5_canonical}
 ORACLES: dict[str, str] = {}
