@@ -74,7 +74,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Expected grade from which a text counts as abusive.
-ABUSIVE = 0.3
+ABUSIVE = 0.2
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
