@@ -10,11 +10,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import strip
 from loomstone.operators.gate import validate
+from loomstone.session import once
 
 # How far a stage is trusted.
 CONFIDENCE = {"configured": 1.0, "fallback": 0.9, "cached_repair": 0.85, "llm_text": 0.75, "scrapling_adaptive": 0.7, "exhausted": 0.0}
@@ -35,17 +36,18 @@ class Stage:
         return F.lit(self.selector) if isinstance(self.selector, str) else self.selector
 
 
-def run(stages: Sequence[Stage], rules: Mapping[str, Any] | None = None) -> Column:
+def run(stages: Sequence[Stage], rules: Mapping[str, Any] | None = None, gates: Sequence[Column] | None = None) -> Column:
     """``struct<selector, value, confidence, method, validated, attempts>``.
 
     Stages come in the order configured, fallbacks, cached repair, adaptive, candidate. A stage without a selector
     (null or ``''``) is not tried. An accepted adaptive value is kept unless a candidate is accepted as well. Where
-    nothing is accepted, the method is ``exhausted``, the value ``''`` and the selector the configured one.
+    nothing is accepted, the method is ``exhausted``, the value ``''`` and the selector the configured one. ``gates`` may
+    hold the verdicts of the stages where they are columns already.
     """
     tried, accepted, attempts = [], [], []
     configured = next((s.name for s in stages if s.method == "configured"), F.lit(""))
-    for s in stages:
-        gate = validate(s.value, rules)
+    for i, s in enumerate(stages):
+        gate = validate(s.value, rules) if gates is None else gates[i]
         there = F.coalesce(s.name, F.lit("")) != ""
         if s.method == "scrapling_adaptive":
             there = there & (F.coalesce(configured, F.lit("")) != "")
@@ -84,6 +86,21 @@ def run(stages: Sequence[Stage], rules: Mapping[str, Any] | None = None) -> Colu
     return F.struct(*[result[c].alias(c) for c in ("selector", "value", "confidence", "method", "validated")], trace.alias("attempts"))
 
 
+def apply(df: DataFrame, fields: Mapping[str, tuple[Sequence[Stage], Mapping[str, Any] | None]]) -> DataFrame:
+    """``df`` with the result of :func:`run` per field; every value and every gate is computed once a row.
+
+    Column names that begin with ``_v`` and ``_g`` must not be in use.
+    """
+    flat = [(n, i, s, rules) for n, (stages, rules) in fields.items() for i, s in enumerate(stages)]
+    values = once(df, {f"_v{k}": s.value for k, (_, _, s, _) in enumerate(flat)}, df.columns)
+    gates = once(values, {f"_g{k}": validate(F.col(f"_v{k}"), rules) for k, (*_, rules) in enumerate(flat)}, values.columns)
+    results = {}
+    for name, (_, rules) in fields.items():
+        own = [(k, s) for k, (n, _, s, _) in enumerate(flat) if n == name]
+        results[name] = run([Stage(s.method, s.selector, F.col(f"_v{k}")) for k, s in own], rules, [F.col(f"_g{k}") for k, _ in own])
+    return once(gates, results, df.columns)
+
+
 def low_confidence(result: Column, below: float = 0.8) -> Column:
     """Whether a result should be kept as an episode of repair: not validated, or trusted less than ``below``."""
     return ~result["validated"] | (result["confidence"] < below)

@@ -10,7 +10,7 @@ the choice of the valid row nor the sums shuffle again, and no key is ever gathe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,19 +34,19 @@ def number(text: Column) -> Column:
 
 
 def latest(df: DataFrame, snapshot: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Per snapshot and key the row with the greatest ``order``; the input is partitioned by ``key`` first."""
+    """Per snapshot and key the row with the greatest ``order``."""
     w = Window.partitionBy(*key, snapshot).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return df.repartition(*key).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def changes(df: DataFrame, snapshot: str, key: Sequence[str], fields: Sequence[str], order: Sequence[str]) -> DataFrame:
+def changes(df: DataFrame, snapshot: str, key: Sequence[str], fields: Sequence[str], order: Sequence[str], normalise: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """``snapshot``, ``key``, ``change_kind`` (added, removed, changed) and ``changed_fields`` per step and key.
 
     ``snapshot`` is the later one; the step leads from the snapshot delivered before it, so gaps in the numbers do not
     matter. Within a snapshot the row with the greatest ``order`` holds; rows equal in ``order`` too are
     indistinguishable and any of them is taken. Null equals null and differs from any value, in fields and in keys.
     Rows without a snapshot number are left out. ``changed_fields`` is a sorted list joined by commas, empty for
-    additions and removals. An empty table gives no rows, and so does a single snapshot. Other columns of the input
+    additions and removals. ``normalise`` maps fields to what makes their values comparable. An empty table gives no rows, and so does a single snapshot. Other columns of the input
     are not read.
     """
     rows = df.where(F.col(snapshot).isNotNull())
@@ -56,7 +56,10 @@ def changes(df: DataFrame, snapshot: str, key: Sequence[str], fields: Sequence[s
     if not following:
         return df.sparkSession.createDataFrame([], df.select(snapshot, *key).schema).withColumns({"change_kind": F.lit(""), "changed_fields": F.lit("")}).limit(0)
     after = F.create_map(*[F.lit(x).cast(kind) for pair in following.items() for x in pair])
-    held = latest(rows.select(snapshot, *key, *fields, *order), snapshot, key, order)
+    parted = rows.select(snapshot, *key, *fields, *order).repartition(*key)
+    for field, make in (normalise or {}).items():
+        parted = parted.withColumn(field, make(F.col(f"`{field}`")))
+    held = latest(parted, snapshot, key, order)
     text = [F.col(f).cast("string") for f in fields]
     presence = F.struct(F.lit(0).alias("_field"), F.lit(None).cast("string").alias("_value"))
     cells = F.array(presence, *[F.struct(F.lit(i).alias("_field"), c.alias("_value")) for i, c in enumerate(text, 1)])

@@ -15,6 +15,8 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.session import once
+
 US = 1_000_000
 DAY = 86_400 * US
 
@@ -45,13 +47,6 @@ _GRAMMARS = (
 _COUNT = r"^\d{9,10}(\.\d{1,9})?$|^\d{12,13}(\.\d{1,6})?$|^\d{15,16}$|^\d{18,19}$"
 
 
-def _once(df: DataFrame, names: Sequence[str], columns: dict[str, Column], keep: Sequence[str]) -> DataFrame:
-    """``keep`` and the new columns, computed once per row: a generator of one row, through which the optimizer
-    neither pushes filters nor merges projections (either would repeat the parsing in every later expression)."""
-    made = F.array(F.struct(*[columns[n].alias(n) for n in names]))
-    return df.select(*keep, F.inline(made))
-
-
 def abbreviations(zones: Sequence[str], years: Sequence[int] = tuple(range(2000, 2038))) -> dict[str, int]:
     """``zone|ABBR`` -> offset in seconds, for every abbreviation a zone itself used in these years."""
     found: dict[str, int] = {}
@@ -91,7 +86,7 @@ def parse(df: DataFrame, text: str, date_order: Column | None = None) -> DataFra
     order = F.lit("DMY") if date_order is None else F.coalesce(date_order, F.lit("DMY"))
     keep = df.columns
     df = df.withColumn("_t", clean(F.col(text)))
-    df = _once(df, ["_p"], {"_p": F.when(F.length("_t") <= 80, _parts(F.col("_t")))}, [*keep, "_t"])
+    df = once(df, {"_p": F.when(F.length("_t") <= 80, _parts(F.col("_t")))}, [*keep, "_t"])
     part = lambda i: F.try_element_at("_p", F.lit(i))
     num = lambda c: F.expr(f"try_cast({c} as int)")
     names = ["_k", "_a", "_b", "_c", "_per", "_h", "_mi", "_s", "_f", "_half", "abbr", "_off", "zone_name"]
@@ -140,7 +135,7 @@ def parse(df: DataFrame, text: str, date_order: Column | None = None) -> DataFra
         "abbr": F.nullif("abbr", F.lit("")),
         "zone_name": F.nullif("zone_name", F.lit("")),
     }
-    return _once(df, list(made), made, keep)
+    return once(df, made, keep)
 
 
 def _shifted(us: Column, zone: Column) -> Column:
@@ -224,7 +219,7 @@ def normalise(df: DataFrame, text: str, host: str | None, hosts: DataFrame, refe
     own = names[F.concat_ws("|", F.coalesce("_declared", F.lit(default_zone)), "abbr")]
     offset = F.coalesce("offset_s", F.when(F.col("abbr").isNotNull(), F.coalesce(own, F.when(F.col("abbr") == "GMT", 0))))
     fixed = F.coalesce("count_us", F.col("local_us") - offset.cast("bigint") * US)
-    rows = _once(rows, ["_fixed"], {"_fixed": fixed}, rows.columns)
+    rows = once(rows, {"_fixed": fixed}, rows.columns)
     free = F.col("_fixed").isNull() & F.col("abbr").isNull() & F.col("zone_name").isNull()
     zone = F.lit(default_zone)
     if host is not None:
@@ -247,4 +242,4 @@ def normalise(df: DataFrame, text: str, host: str | None, hosts: DataFrame, refe
             zone = F.coalesce(F.create_map(*[F.lit(x) for kv in chosen.items() for x in kv])[F.col("_host")], F.lit(default_zone))
     rows = rows.withColumn("zone", F.coalesce(F.when(F.col("zone_name").isNotNull(), whole[F.col("zone_name")]), F.when(F.col("zone_name").isNull(), zone)))
     instant = F.coalesce("_fixed", F.when(F.col("abbr").isNull(), to_utc(F.col("local_us"), F.col("zone"))))
-    return _once(rows, ["utc_us"], {"utc_us": instant}, [*df.columns, "zone"])
+    return once(rows, {"utc_us": instant}, [*df.columns, "zone"])

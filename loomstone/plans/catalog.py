@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import text as X
 from loomstone.operators import captures, cascade, episodes, gate, jsonpath, markup, memory, metrics, records
 from loomstone.plans.registry import ECOMMERCE, adapter_name
-from loomstone.session import table
+from loomstone.session import once, spread, table
 from loomstone.sources import files
 from loomstone.streaming import streams
 
@@ -52,7 +52,7 @@ PAGES = f'pages AS (SELECT row_id, "来源页" AS url, {_page(chr(34))} AS html
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "taobao").select("row_id", F.col("来源页").alias("url"), F.expr(_page("`")).alias("html"))
+    return spread(table(spark, sf_dir, "taobao")).select("row_id", F.col("来源页").alias("url"), F.expr(_page("`")).alias("html"))
 
 
 LOG = """log AS (SELECT event_id AS line_no, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "at", event_type AS field, 'p' || CAST(user_id % 7 AS VARCHAR) AS page_pattern,
@@ -177,7 +177,7 @@ _PRICE_OK = "coalesce(TRY_CAST(regexp_replace({x}, '[^0-9.-]', '', 'g') AS DOUBL
 def _cascade(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("html")
     stages = [cascade.Stage("configured", "span.price", markup.select_first(h, "span.price")), cascade.Stage("fallback", "div[data-field=price]", markup.select_first(h, "div[data-field=price]"))]
-    return _pages(spark, d).select("row_id", X.url_pattern(F.col("url")).alias("pattern"), F.inline(F.array(F.struct(cascade.run(stages, {"type": "price"}).alias("r")))))
+    return cascade.apply(_pages(spark, d), {"r": (stages, {"type": "price"})})
 
 
 _CASCADE = f"""WITH {PAGES}, v AS (SELECT row_id, url, {_c(_SPAN)} AS a, {_c(_DIV)} AS b FROM pages),
@@ -232,12 +232,13 @@ def css_select(spark, d):
 def adapter_records(spark, d):
     wanted = [(s, f.attr) for f in ECOMMERCE.fields for s in f.selectors]
     found = _pages(spark, d).select("row_id", "url", F.inline(F.array(F.struct(markup.select(F.col("html"), wanted).alias("v")))))
-    columns, at = [], 0
+    found = once(found, {**{f"v{i}": F.col("v")[i] for i in range(len(wanted))}, "adapter": adapter_name(F.col("url"), [ECOMMERCE])}, ["row_id"])
+    fields, at = {}, 0
     for f in ECOMMERCE.fields:
-        stages = [cascade.Stage("configured" if i == 0 else "fallback", s, F.col("v")[at + i]) for i, s in enumerate(f.selectors)]
+        fields[f.name] = ([cascade.Stage("configured" if i == 0 else "fallback", s, F.col(f"v{at + i}")) for i, s in enumerate(f.selectors)], f.rules)
         at += len(f.selectors)
-        columns.append(cascade.run(stages, f.rules)["value"].alias(f.name))
-    return ECOMMERCE.post_process(found.select("row_id", adapter_name(F.col("url"), [ECOMMERCE]).alias("adapter"), *columns))
+    done = cascade.apply(found, fields)
+    return ECOMMERCE.post_process(done.select("row_id", "adapter", *[F.col(f"`{n}`.value").alias(n) for n in fields]))
 
 
 # ---------------------------------------------------------------- the quality gate

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.operators import packed, snapshots, timestamps
-from loomstone.session import ntz_micros, table
+from loomstone.session import ntz_micros, spread, table
 
 
 def _time_texts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     hosts = table(spark, sf_dir, "crawl_hosts")
-    shop = table(spark, sf_dir, "taobao").select(F.lit("taobao").alias("tbl"), F.col("row_id").alias("row_key"), F.col("爬取时间").alias("text"), "crawl_host", ntz_micros(F.col("received_at")).alias("received_us"))
-    runs = table(spark, sf_dir, "crawler_cli").select(F.lit("crawler_cli").alias("tbl"), F.col("record_id").alias("row_key"), F.col("crawl_time").alias("text"), "crawl_host")
-    events = table(spark, sf_dir, "repair_events").select(F.lit("repair_events").alias("tbl"), F.col("id").alias("row_key"), F.col("created_at").alias("text"))
+    shop = spread(table(spark, sf_dir, "taobao")).select(F.lit("taobao").alias("tbl"), F.col("row_id").alias("row_key"), F.col("爬取时间").alias("text"), "crawl_host", ntz_micros(F.col("received_at")).alias("received_us"))
+    runs = spread(table(spark, sf_dir, "crawler_cli")).select(F.lit("crawler_cli").alias("tbl"), F.col("record_id").alias("row_key"), F.col("crawl_time").alias("text"), "crawl_host")
+    events = spread(table(spark, sf_dir, "repair_events")).select(F.lit("repair_events").alias("tbl"), F.col("id").alias("row_key"), F.col("created_at").alias("text"))
     return [
         timestamps.normalise(shop, "text", "crawl_host", hosts, reference_us="received_us"),
         timestamps.normalise(runs, "text", "crawl_host", hosts, order="row_key"),
@@ -30,17 +30,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The single promotions of fields that hold two or more."""
-    return packed.split_values(table(spark, sf_dir, "taobao"), "row_id", "优惠信息", "offer_text").where("n_values >= 2").select("row_id", "pos", "offer_text")
-
-
-def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "taobao_snapshots")
-    return rows.select("snapshot_no", "itemid", "skuid", "delivered_at", "snap_row_id", snapshots.number(F.col("页面价")).alias("页面价"), snapshots.number(F.col("库存")).alias("库存"))
+    return packed.split_values(spread(table(spark, sf_dir, "taobao").select("row_id", "优惠信息")), "row_id", "优惠信息", "offer_text").where("n_values >= 2").select("row_id", "pos", "offer_text")
 
 
 def p6_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What changed from each snapshot to the next, with the names of the changed fields."""
-    return snapshots.changes(_offers(spark, sf_dir), "snapshot_no", ["itemid", "skuid"], ["页面价", "库存"], ["delivered_at", "snap_row_id"])
+    fields = ["页面价", "库存"]
+    return snapshots.changes(table(spark, sf_dir, "taobao_snapshots"), "snapshot_no", ["itemid", "skuid"], fields, ["delivered_at", "snap_row_id"], dict.fromkeys(fields, snapshots.number))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,6 +34,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions than there are cores, else unchanged.
+
+    Only tables of a few small files are ever moved; a large table has more partitions than cores and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, columns: Mapping[str, Column], keep: Sequence[str]) -> DataFrame:
+    """``keep`` and the new columns, each computed once per row.
+
+    The columns come out of a generator of one row, through which the optimizer neither pushes filters nor merges
+    projections; either would repeat costly expressions in every later use.
+    """
+    made = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select(*keep, F.inline(made))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
