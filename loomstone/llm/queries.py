@@ -6,25 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import abuse, lookalikes, mixing, packing, products, residue
-from loomstone.session import table
+from loomstone.session import spread, table
 
 TEXT_FIELDS = ["商品标题", "sku名称", "店铺名称"]
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of taobao that are not in the one consistent form."""
-    return lookalikes.disguised(table(spark, sf_dir, "taobao"), "row_id", TEXT_FIELDS).select("row_id", "field")
+    return lookalikes.disguised(spread(table(spark, sf_dir, "taobao")), "row_id", TEXT_FIELDS).select("row_id", "field")
 
 
 def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every taobao row with its three text fields in the one consistent form."""
-    return lookalikes.canonical(table(spark, sf_dir, "taobao"), ["row_id"], TEXT_FIELDS)
+    return lookalikes.canonical(spread(table(spark, sf_dir, "taobao")), ["row_id"], TEXT_FIELDS)
 
 
 def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles that are wholly or partly no content, with the kind of residue."""
-    shop = residue.find(table(spark, sf_dir, "taobao"), "row_id", "商品标题")
-    pages = residue.find(table(spark, sf_dir, "approved_browser_template"), "record_id", "title")
+    shop = residue.find(spread(table(spark, sf_dir, "taobao").select("row_id", "商品标题")), "row_id", "商品标题")
+    pages = residue.find(spread(table(spark, sf_dir, "approved_browser_template")), "record_id", "title")
     named = [(shop, "taobao", "row_id"), (pages, "approved_browser_template", "record_id")]
     one, two = (d.select(F.lit(t).alias("tbl"), F.col(k).alias("row_key"), "kind") for d, t, k in named)
     return one.unionByName(two)
@@ -36,7 +36,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return products.classes(table(spark, sf_dir, "taobao"), "row_id", "商品标题", "sku名称", "卖家昵称", "received_at")
+    return products.classes(spread(table(spark, sf_dir, "taobao")), "row_id", "商品标题", "sku名称", "卖家昵称", "received_at")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents in a container of each kind."""
-    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "pack_bins"))
+    return packing.pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf_dir, "pack_bins"))
 
 
 def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str, **options) -> mixing.Mixture:
-    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source", "lang", mixing.DOMAINS, **options)
+    return mixing.Mixture(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source", "lang", mixing.DOMAINS, **options)
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ ABUSIVE = 0.2
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its severity and its worst sentence."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     model = abuse.train(docs, table(spark, sf_dir, "review_labels"), "doc_id", "text", "abusive")
     return abuse.score(docs, "doc_id", "text", model, ["source"])
 
