@@ -19,6 +19,8 @@ from loomstone.session import once
 
 US = 1_000_000
 DAY = 86_400 * US
+#: Rows of the arrival order that share one reference time.
+BLOCK = 256
 
 # Full-width forms, look-alike date signs and blanks that time texts are written with.
 WIDE = "０１２３４５６７８９：／－．，＋    　\t⽇⽉"
@@ -154,53 +156,48 @@ def to_utc(local_us: Column, zone: Column) -> Column:
     )
 
 
-def estimate_zones(df: DataFrame, key: str, local_us: str, reference_us: str, candidates: Sequence[str], lag: timedelta = timedelta(hours=1), early: timedelta = timedelta(minutes=5), prior: str | None = None) -> DataFrame:
+def estimate_zones(df: DataFrame, key: str, local_us: str, reference_us: str, candidates: Sequence[str], lag_us: Column, early_us: Column, prior: str | None = None) -> DataFrame:
     """For each ``key`` the candidate zone under which the fewest local readings violate the reference time.
 
-    A reading is violated where its instant lies more than ``early`` after its reference or more than ``lag`` before
-    it. Ties fall to the ``prior`` column's zone (if given), then to the order of the names. Returns ``key``,
+    A reading is violated where its instant lies more than ``early_us`` after its reference or more than ``lag_us``
+    before it. Ties fall to the ``prior`` column's zone (if given), then to the order of the names. Returns ``key``,
     ``zone``, ``violations`` and ``readings``. All candidates are counted side by side in one partial aggregation,
     so the shuffle carries one row per key and partition. Null keys, readings and references are left out; a key
     without any reading is absent.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(local_us).isNotNull() & F.col(reference_us).isNotNull())
-    names = sorted(set(candidates))
-    wrong = []
+    names, wrong = sorted(set(candidates)), []
     for i, zone in enumerate(names):
         at = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col(local_us)), F.lit(zone)))
         behind = F.col(reference_us) - at
-        wrong.append(F.count_if((behind < -int(early.total_seconds() * US)) | (behind > int(lag.total_seconds() * US))).alias(f"v{i}"))
+        wrong.append(F.count_if((behind < -early_us) | (behind > lag_us)).alias(f"v{i}"))
     counted = rows.groupBy(key).agg(F.count("*").alias("readings"), *([F.max(prior).alias("_prior")] if prior else []), *wrong)
-    ranked = F.array_sort(
-        F.array(
-            *[
-                F.struct(F.col(f"v{i}").alias("violations"), (F.lit(1) if prior is None else F.when(F.col("_prior") == zone, 0).otherwise(1)).alias("rank"), F.lit(zone).alias("zone"))
-                for i, zone in enumerate(names)
-            ]
-        )
-    )
+    rank = lambda zone: F.lit(1) if prior is None else F.when(F.col("_prior") == zone, 0).otherwise(1)
+    ranked = F.array_sort(F.array(*[F.struct(F.col(f"v{i}").alias("violations"), rank(zone).alias("rank"), F.lit(zone).alias("zone")) for i, zone in enumerate(names)]))
     best = ranked.getItem(0)
     return counted.select(key, best["zone"].alias("zone"), best["violations"].alias("violations"), "readings")
 
 
-def arrival_clock(df: DataFrame, order: str, instant_us: str, block: int = 256) -> DataFrame:
-    """A reference time from the order of arrival: per block of ``order``, the median of the known instants.
+def arrival_clock(df: DataFrame, group: str, order: str, instant_us: str, block: int = BLOCK) -> DataFrame:
+    """A reference time from the order of arrival: per group and block of ``order``, the median of the known instants.
 
-    Returns ``_block`` and ``reference_us``; rows join on ``floor(order / block)``. Blocks without a known instant
-    are absent.
+    Returns ``group``, ``_block`` (``floor(order / block)``) and ``_clock``; blocks without a known instant are absent.
     """
-    return df.where(F.col(instant_us).isNotNull()).groupBy(F.floor(F.col(order) / block).alias("_block")).agg(F.expr(f"percentile_approx({instant_us}, 0.5, 200)").alias("reference_us"))
+    known = df.where(F.col(instant_us).isNotNull())
+    return known.groupBy(group, F.floor(F.col(order) / block).alias("_block")).agg(F.expr(f"percentile_approx({instant_us}, 0.5, 200)").alias("_clock"))
 
 
-def normalise(df: DataFrame, text: str, host: str | None, hosts: DataFrame, reference_us: str | None = None, order: str | None = None, default_zone: str = "UTC") -> DataFrame:
+def normalise(df: DataFrame, text: str, host: str, hosts: DataFrame, group: str, order: str, reference_us: str, default_zone: str = "UTC") -> DataFrame:
     """Add ``utc_us`` (the one instant the text denotes, else null) and ``zone`` (the zone taken for zoneless texts).
 
     ``hosts`` holds ``crawl_host``, ``tz_name`` and ``date_order`` -- a fixed list of machines. The zone of a host is
-    estimated from ``reference_us`` (ingestion times) or, without those, from the arrival order; a declared zone
-    breaks ties and, as an exact check, overrides an estimate that differs. Hosts without either use
-    ``default_zone``, as do rows without a host. Null, blank, vague and impossible texts, and zoneless readings that
-    the zone skips or passes twice, give null. Rows are neither dropped nor multiplied. The column names
-    ``utc_us``, ``zone`` and those beginning with ``_`` must not be in use.
+    estimated from ``reference_us`` (ingestion times) or, where that is null, from the arrival order of the rows of
+    the same ``group``; a declared zone breaks ties and, as an exact check, overrides an estimate that differs. Hosts
+    without either use ``default_zone``, as do rows without a host.
+
+    Null, blank, vague and impossible texts, and zoneless readings that the zone skips or passes twice, give null.
+    Rows are neither dropped nor multiplied, repeated ones come each; an empty table gives an empty one. The column
+    names ``utc_us``, ``zone`` and those beginning with ``_`` must not be in use, other columns are kept.
     """
     spark = df.sparkSession
     known = [r for r in hosts.select("crawl_host", "tz_name", "date_order").distinct().collect() if r.crawl_host]
@@ -208,38 +205,24 @@ def normalise(df: DataFrame, text: str, host: str | None, hosts: DataFrame, refe
         raise ValueError("the list of hosts is meant to be a fixed, short one")
     zones = sorted({r.tz_name for r in known if r.tz_name} | {default_zone})
     small = spark.createDataFrame([(r.crawl_host, r.tz_name, r.date_order) for r in known] or [(None, None, None)], "_host string, _declared string, _order string")
-    if host is None:
-        rows = df.withColumns({"_host": F.lit(None).cast("string"), "_declared": F.lit(None).cast("string"), "_order": F.lit(None).cast("string")})
-    else:
-        rows = df.join(F.broadcast(small), F.col(host) == F.col("_host"), "left")
+    rows = df.join(F.broadcast(small), F.col(host) == F.col("_host"), "left")
     rows = parse(rows, text, F.col("_order"))
+    literal = lambda pairs: F.create_map(*[F.lit(x) for kv in pairs for x in kv])
     abbr = abbreviations(zones)
-    names = F.create_map(*[F.lit(x) for kv in (abbr or {"": 0}).items() for x in kv])
-    whole = F.create_map(*[F.lit(x) for z in zones for x in (z.upper(), z)])
-    own = names[F.concat_ws("|", F.coalesce("_declared", F.lit(default_zone)), "abbr")]
+    own = literal(abbr.items() if abbr else [("", 0)])[F.concat_ws("|", F.coalesce("_declared", F.lit(default_zone)), "abbr")]
     offset = F.coalesce("offset_s", F.when(F.col("abbr").isNotNull(), F.coalesce(own, F.when(F.col("abbr") == "GMT", 0))))
-    fixed = F.coalesce("count_us", F.col("local_us") - offset.cast("bigint") * US)
-    rows = once(rows, {"_fixed": fixed}, rows.columns)
-    free = F.col("_fixed").isNull() & F.col("abbr").isNull() & F.col("zone_name").isNull()
-    zone = F.lit(default_zone)
-    if host is not None:
-        if reference_us is not None:
-            aligned = rows.withColumn("_ref", F.col(reference_us))
-            lag = timedelta(hours=1)
-        elif order is not None:
-            clock = arrival_clock(rows, order, "_fixed")
-            aligned = rows.where(free).withColumn("_block", F.floor(F.col(order) / 256)).join(clock.withColumnRenamed("reference_us", "_ref"), "_block")
-            lag = timedelta(hours=3)
-        else:
-            aligned = None
-        estimated: dict[str, str] = {}
-        if aligned is not None:
-            early = timedelta(minutes=5) if reference_us is not None else lag
-            best = estimate_zones(aligned.where(free), "_host", "local_us", "_ref", zones, lag, early, "_declared")
-            estimated = {r["_host"]: r["zone"] for r in best.collect()}  # one row per registered host
-        chosen = {r.crawl_host: r.tz_name or estimated.get(r.crawl_host) or default_zone for r in known}
-        if chosen:
-            zone = F.coalesce(F.create_map(*[F.lit(x) for kv in chosen.items() for x in kv])[F.col("_host")], F.lit(default_zone))
-    rows = rows.withColumn("zone", F.coalesce(F.when(F.col("zone_name").isNotNull(), whole[F.col("zone_name")]), F.when(F.col("zone_name").isNull(), zone)))
+    rows = once(rows, {"_fixed": F.coalesce("count_us", F.col("local_us") - offset.cast("bigint") * US)}, rows.columns)
+    free = F.col("_fixed").isNull() & F.col("abbr").isNull() & F.col("zone_name").isNull() & F.col("local_us").isNotNull()
+    clock = arrival_clock(rows.where(F.col(reference_us).isNull()), group, order, "_fixed")
+    open_rows = rows.where(free & F.col("_host").isNotNull()).select(group, "_host", "_declared", "local_us", F.col(reference_us).alias("_seen"), F.floor(F.col(order) / BLOCK).alias("_block"))
+    aligned = open_rows.join(clock, [group, "_block"], "left").withColumn("_reference", F.coalesce("_seen", "_clock"))
+    seen = F.col("_seen").isNotNull()
+    lag, early = F.when(seen, F.lit(3600 * US)).otherwise(3 * 3600 * US), F.when(seen, F.lit(300 * US)).otherwise(3 * 3600 * US)
+    best = estimate_zones(aligned, "_host", "local_us", "_reference", zones, lag, early, "_declared")
+    estimated = {r["_host"]: r["zone"] for r in best.collect()}  # one row per registered host
+    chosen = {r.crawl_host: r.tz_name or estimated.get(r.crawl_host) or default_zone for r in known}
+    zone = F.coalesce(literal(chosen.items())[F.col("_host")], F.lit(default_zone)) if chosen else F.lit(default_zone)
+    named = literal((z.upper(), z) for z in zones)[F.col("zone_name")]
+    rows = rows.withColumn("zone", F.when(F.col("zone_name").isNotNull(), named).otherwise(zone))
     instant = F.coalesce("_fixed", F.when(F.col("abbr").isNull(), to_utc(F.col("local_us"), F.col("zone"))))
     return once(rows, {"utc_us": instant}, [*df.columns, "zone"])

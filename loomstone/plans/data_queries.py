@@ -9,22 +9,17 @@ from loomstone.operators import packed, snapshots, timestamps
 from loomstone.session import ntz_micros, spread, table
 
 
-def _time_texts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    hosts = table(spark, sf_dir, "crawl_hosts")
-    shop = spread(table(spark, sf_dir, "taobao")).select(F.lit("taobao").alias("tbl"), F.col("row_id").alias("row_key"), F.col("爬取时间").alias("text"), "crawl_host", ntz_micros(F.col("received_at")).alias("received_us"))
-    runs = spread(table(spark, sf_dir, "crawler_cli")).select(F.lit("crawler_cli").alias("tbl"), F.col("record_id").alias("row_key"), F.col("crawl_time").alias("text"), "crawl_host")
-    events = spread(table(spark, sf_dir, "repair_events")).select(F.lit("repair_events").alias("tbl"), F.col("id").alias("row_key"), F.col("created_at").alias("text"))
-    return [
-        timestamps.normalise(shop, "text", "crawl_host", hosts, reference_us="received_us"),
-        timestamps.normalise(runs, "text", "crawl_host", hosts, order="row_key"),
-        timestamps.normalise(events, "text", None, hosts),
-    ]
+def _time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None)
+    shop = table(spark, sf_dir, "taobao").select(F.lit("taobao").alias("tbl"), F.col("row_id").alias("row_key"), F.col("爬取时间").alias("text"), "crawl_host", ntz_micros(F.col("received_at")).alias("received_us"))
+    runs = table(spark, sf_dir, "crawler_cli").select(F.lit("crawler_cli"), "record_id", "crawl_time", "crawl_host", none.cast("bigint"))
+    events = table(spark, sf_dir, "repair_events").select(F.lit("repair_events"), "id", "created_at", none.cast("string"), none.cast("bigint"))
+    return spread(shop.union(runs).union(events))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time texts that denote one instant and are not yet in canonical form, with that instant."""
-    one, two, three = (d.select("tbl", "row_key", "text", "utc_us") for d in _time_texts(spark, sf_dir))
-    rows = one.unionByName(two).unionByName(three)
+    rows = timestamps.normalise(_time_texts(spark, sf_dir), "text", "crawl_host", table(spark, sf_dir, "crawl_hosts"), "tbl", "row_key", "received_us")
     return rows.where(F.col("utc_us").isNotNull() & ~F.col("text").rlike(timestamps.CANONICAL)).select("tbl", "row_key", "utc_us")
 
 
