@@ -63,7 +63,8 @@ def leaves(df: DataFrame, key: str, text: str) -> DataFrame:
                         todo.extend(reversed(list(x.values())))
                     elif isinstance(x, list):
                         todo.extend(reversed(x))
-            yield pd.DataFrame({"_k": keys, "pos": at, "leaf": found})
+            if keys:
+                yield pd.DataFrame({"_k": keys, "pos": at, "leaf": found})
 
     kind = dict(df.dtypes)[key]
     out = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).mapInPandas(run, f"_k {kind}, pos int, leaf string")
