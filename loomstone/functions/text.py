@@ -158,3 +158,42 @@ def splitlines_count(text: Column) -> Column:
     ends = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "[\r\x0b\x0c\x1c-\x1e\u0085  ]", "\n")
     breaks = F.length(ends) - F.length(F.replace(ends, F.lit("\n"), F.lit("")))
     return F.when(text == "", 0).otherwise(breaks + F.when(ends.endswith("\n"), 0).otherwise(1)).cast("bigint")
+
+
+IMAGE = r"!\[([^\]]*)\]\(([^)\s]+)[^)]*\)"
+
+
+def image_references(text: Column) -> Column:
+    """Targets of the Markdown images of a text, in order."""
+    return F.regexp_extract_all(text, F.lit(IMAGE), 2)
+
+
+def is_remote(reference: Column) -> Column:
+    """Whether an image lies elsewhere: an address or embedded data."""
+    return reference.rlike(r"(?i)^(?:https?:)?//|^data:")
+
+
+def rewrite_images(text: Column, folder: str) -> Column:
+    """Markdown with its local images pointed at ``folder``; remote ones stay."""
+    return F.regexp_replace(text, r"(!\[[^\]]*\]\()(?!https?:|//|data:)(?:[^)\s/]*/)*([^)\s/]+)", f"$1{folder}/$2")
+
+
+def json_object(text: Column) -> Column:
+    """The JSON object inside fenced or noisy text, from the first brace to the last; ``''`` where there is none."""
+    body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.when(F.try_parse_json(body).isNotNull(), body).otherwise("")
+
+
+def links(html: Column) -> Column:
+    """Anchors of markup in order as an array of ``struct<url, title>``."""
+    pattern = r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"
+    targets, inner = F.regexp_extract_all(html, F.lit(pattern), 1), F.regexp_extract_all(html, F.lit(pattern), 2)
+    return F.transform(F.arrays_zip(targets.alias("u"), inner.alias("t")), lambda x: F.struct(x["u"].alias("url"), collapse(F.regexp_replace(x["t"], r"(?s)<[^>]+>", " ")).alias("title")))
+
+
+def uuid5(name: Column, namespace: str) -> Column:
+    """The name-based UUID (SHA-1) of a text in a namespace UUID."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    nibble = F.element_at(F.array(*map(F.lit, "89ab")), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 1)
+    part = lambda a, n: F.substring(digest, a, n)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), nibble, part(18, 3), F.lit("-"), part(21, 12))

@@ -113,3 +113,10 @@ def within_budget(requests: DataFrame, session: str, order: Sequence[str], limit
     inside = Window.partitionBy(session, "_block").orderBy(*order)
     numbered = spread.withColumn("_row", F.row_number().over(inside)).join(starts, [session, "_block"])
     return numbered.withColumn("number", F.col("_before") + F.col("_row")).withColumn("allowed", F.col("number") <= limit).drop("_block", "_row", "_before")
+
+
+def first_visible(snapshots: DataFrame, page: str, after_ms: str, value: str, timeout_ms: int) -> DataFrame:
+    """Per page the first non-empty ``value`` that shows within ``timeout_ms``, with the time it shows at; pages where
+    none shows come with null."""
+    shown = F.when((F.col(after_ms) <= timeout_ms) & (F.coalesce(F.col(value), F.lit("")) != ""), F.struct(after_ms, value))
+    return snapshots.groupBy(page).agg(F.min(shown).alias("_s")).select(page, f"_s.{after_ms}", f"_s.{value}")

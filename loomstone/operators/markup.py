@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -77,6 +77,34 @@ def depth(html: Column) -> Column:
     return F.aggregate(marks, start, step)["top"]
 
 
+def attribute_names(html: Column) -> Column:
+    """Names of the attributes of all opening tags in order, lower case."""
+    opened = F.regexp_extract_all(_plain(html), F.lit(r"<[a-zA-Z][a-zA-Z0-9-]*\b([^>]*)>"), 1)
+    names = F.transform(opened, lambda x: F.regexp_extract_all(x, F.lit(r"(?:^|\s)([a-zA-Z_:][\w:.-]*)(?=\s*=|\s|/|$)(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?"), 1))
+    return F.transform(F.flatten(names), F.lower)
+
+
+def relocate(html: Column, tag: str, attributes: Mapping[str, str], text: str, least: float = 0.4) -> Column:
+    """Text of the element most like a remembered one: same tag, shared attribute values, similar text.
+
+    Likeness is the mean of the share of remembered attributes found again and of the likeness of the texts (one less
+    the edit distance over the longer length); ``''`` where none reaches ``least``, first of equals wins.
+    """
+    found = F.regexp_extract_all(html, F.lit(rf"(?is)(<{tag}\b[^>]*>.*?</{tag}\s*>)"), 1)
+
+    def like(node: Column) -> Column:
+        words = collapse(F.regexp_replace(node, r"(?s)<[^>]+>", " "))
+        longest = F.greatest(F.length(words), F.lit(len(text)), F.lit(1))
+        near = 1 - F.levenshtein(words, F.lit(text)) / longest
+        head = F.regexp_extract(node, r"(?s)^(<[^>]*>)", 1)
+        hits = [F.when(head.contains(f'{k}="{v}"'), 1.0).otherwise(0.0) for k, v in attributes.items()]
+        kept = sum(hits[1:], hits[0]) / len(hits) if hits else F.lit(1.0)
+        return F.struct(((near + kept) / 2).alias("score"), words.alias("words"))
+
+    best = F.aggregate(F.transform(found, like), F.struct(F.lit(least).alias("score"), F.lit("").alias("words")), lambda a, x: F.when((x["score"] > a["score"]) | ((x["score"] == a["score"]) & (a["words"] == "")), x).otherwise(a))
+    return F.coalesce(best["words"], F.lit(""))
+
+
 class _Node:
     __slots__ = ("attrs", "children", "name", "parent", "text")
 

@@ -49,11 +49,16 @@ def failures(metrics: DataFrame, gates: Mapping[str, float] = GATES) -> DataFram
     return metrics.withColumn("failures", F.array_compact(F.array(*found)))
 
 
-def corpus_hash(cases: DataFrame, order: str, digest: str) -> DataFrame:
-    """One SHA-256 over the case hashes in order, from bounded pieces: hashes of blocks of 4,096 cases, then of those."""
-    block = F.floor(F.col(order) / 4096)
-    pieces = cases.groupBy(block.alias("_b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, digest))), lambda x: x[digest]), ","), 256).alias("_h"))
-    return pieces.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"]), ","), 256).alias("corpus_hash"))
+def corpus_hash(cases: DataFrame, order: str, digest: str, width: int = 4096, levels: int = 4) -> DataFrame:
+    """One SHA-256 over case hashes in the order of a whole-number column, as a tree of blocks of ``width`` numbers.
+
+    No task holds more than ``width`` hashes, up to ``width ** levels`` cases.
+    """
+    nodes = cases.select(F.col(order).cast("bigint").alias("_o"), F.col(digest).alias("_h"))
+    for _ in range(levels):
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_h"))), lambda x: x["_h"])
+        nodes = nodes.groupBy(F.floor(F.col("_o") / width).alias("_b")).agg(F.sha2(F.array_join(listed, ","), 256).alias("_h")).select(F.col("_b").alias("_o"), "_h")
+    return nodes.select(F.col("_h").alias("corpus_hash"))
 
 
 def same_outcome(first: DataFrame, second: DataFrame, key: str, ignore: tuple[str, ...] = ("duration_ms",)) -> DataFrame:

@@ -620,3 +620,86 @@ def stream_first_match(spark, d):
 
 
 
+
+
+# ---------------------------------------------------------------- further helpers of the data path
+
+
+@query(r"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '!\[([^\]]*)\]\(([^)\s]+)[^)]*\)', 2)) AS ref FROM documents) SELECT doc_id, ref, count(*) AS n, regexp_matches(ref, '(?i)^(https?:)?//|^data:') AS remote FROM r GROUP BY 1, 2""")
+def image_references(spark, d):
+    r = table(spark, d, "documents").select("doc_id", F.explode(X.image_references(F.col("text"))).alias("ref"))
+    return r.groupBy("doc_id", "ref").agg(F.count("*").alias("n")).withColumn("remote", X.is_remote(F.col("ref")))
+
+
+@query(r"""SELECT doc_id, regexp_replace(text, '(!\[[^\]]*\]\()([^)\s/]*/)*([^)\s/]+)', '\1kept/\3', 'g') AS text FROM documents WHERE contains(text, '![')""")
+def rewrite_images(spark, d):
+    return table(spark, d, "documents").where(F.contains("text", F.lit("!["))).select("doc_id", X.rewrite_images(F.col("text"), "kept").alias("text"))
+
+
+@query("""SELECT id, CASE WHEN id % 3 = 0 THEN '' ELSE payload_json END AS body FROM repair_events""")
+def json_object_from_text(spark, d):
+    noisy = F.expr("CASE WHEN id % 3 = 0 THEN 'no object {here' ELSE 'Sure:\n```json\n' || payload_json || '\n``` done' END")
+    return table(spark, d, "repair_events").select("id", X.json_object(noisy).alias("body"))
+
+
+@query(f"""WITH {PAGES} SELECT row_id, regexp_extract(html, '<a href="([^"]*)"', 1) AS url, {_c("regexp_extract(html, '(?is)<a href=[^>]*>(.*?)</a>', 1)")} AS title FROM pages""")
+def page_links(spark, d):
+    return _pages(spark, d).select("row_id", F.inline(X.links(F.col("html"))))
+
+
+@query()
+def name_uuids(spark, d):
+    return table(spark, d, "repair_episodes").select("id", X.uuid5(F.concat(F.lit("corpus:"), "id"), "6ba7b811-9dad-11d1-80b4-00c04fd430c8").alias("uuid"))
+
+
+@query(
+    f"""WITH {PAGES} SELECT row_id, octet_length(encode(html)) AS size_bytes, length(html) AS characters, sha256(html) AS sha256 FROM pages"""
+)
+def structural_summary(spark, d):
+    h = F.col("html")
+    return _pages(spark, d).select("row_id", F.octet_length(h).cast("bigint").alias("size_bytes"), F.length(h).cast("bigint").alias("characters"), F.sha2(h, 256).alias("sha256"))
+
+
+@query()
+def html_attribute_profile(spark, d):
+    a = _pages(spark, d).select(F.explode(markup.attribute_names(F.col("html"))).alias("attribute"))
+    return a.groupBy("attribute").agg(F.count("*").alias("n"))
+
+
+@query()
+def adaptive_relocation(spark, d):
+    found = markup.relocate(F.col("html"), "li", {"class": "item"}, "旗舰店")
+    return _pages(spark, d).select("row_id", found.alias("text"))
+
+
+@query("""SELECT episode_id, min(sequence) FILTER (WHERE sequence <= 4 AND coalesce(artifact_sha256, '') <> '') AS sequence, arg_min(artifact_sha256, sequence) FILTER (WHERE sequence <= 4 AND coalesce(artifact_sha256, '') <> '') IS NOT NULL AS shown FROM repair_events GROUP BY 1""")
+def hydration_first_visible(spark, d):
+    out = captures.first_visible(table(spark, d, "repair_events"), "episode_id", "sequence", "artifact_sha256", 4)
+    return out.select("episode_id", "sequence", F.col("artifact_sha256").isNotNull().alias("shown"))
+
+
+# ---------------------------------------------------------------- extensions: not in the reference
+
+
+@query(
+    """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"""
+)
+def ext_rollup(spark, d):
+    line = table(spark, d, "lineitem")
+    return line.rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("""SELECT n_name, count(DISTINCT o_orderkey) AS n_orders, sum(l_quantity) AS sum_qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def ext_star_join(spark, d):
+    line = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))  # before the join, on its key
+    joined = line.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy("n_name").agg(F.count("*").alias("n_orders"), F.sum("q").alias("sum_qty"))
+
+
+@query("""SELECT e.event_id, max(p.event_id) AS before_id FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_type = 'purchase' AND (p.ts, p.event_id) < (e.ts, e.event_id) AND NOT EXISTS (SELECT 1 FROM events q WHERE q.user_id = e.user_id AND q.event_type = 'purchase' AND (q.ts, q.event_id) < (e.ts, e.event_id) AND (q.ts, q.event_id) > (p.ts, p.event_id)) GROUP BY 1""")
+def ext_asof(spark, d):
+    from pyspark.sql import Window
+
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return e.select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w).alias("before_id"))

@@ -147,6 +147,30 @@ def test_text_edges(spark):
     assert got[4].g == got[3].g == "item" and [got[i].o for i in (1, 2, 3, 4, 5)] == [False, False, False, False, True]
 
 
+def test_names_links_and_relocation(spark):
+    import uuid
+
+    names = ["corpus:a", "", "多"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    got = [r.u for r in df.orderBy("i").select(X.uuid5(F.col("n"), str(uuid.NAMESPACE_URL)).alias("u")).collect()]
+    assert got == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]
+    page = spark.createDataFrame([(HTML,), ("",), (None,)], "h string")
+    h = F.col("h")
+    rows = page.select(X.links(h).alias("l"), markup.relocate(h, "li", {"class": "item"}, "secnd").alias("r"), F.array_join(markup.attribute_names(h), ",").alias("a"), X.json_object(F.lit("x {\"a\": {}} y")).alias("j")).collect()
+    assert [tuple(x) for x in rows[0].l] == [("https://h/1", "first"), ("https://h/2", "second")]
+    assert (rows[0].r, rows[1].r, rows[2].r) == ("second", "", "")
+    assert rows[0].a == "lang,id,class,class,data-k,src,class,href,class,href" and rows[0].j == '{"a": {}}'
+
+
+def test_first_visible_and_hash(spark):
+    df = spark.createDataFrame([("p", 5, "b"), ("p", 3, ""), ("p", 4, "a"), ("q", 99, "x"), ("r", 1, None)], "page string, after int, v string")
+    got = {r.page: (r.after, r.v) for r in captures.first_visible(df, "page", "after", "v", 50).collect()}
+    assert got == {"p": (4, "a"), "q": (None, None), "r": (None, None)}
+    cases = spark.createDataFrame([(i, str(i * 7)) for i in range(500)], "n long, h string")
+    one, two = (metrics.corpus_hash(c, "n", "h", width=8).collect() for c in (cases, cases.repartition(7)))
+    assert len(one) == 1 and one == two != metrics.corpus_hash(cases.where("n > 0"), "n", "h", width=8).collect()
+
+
 # ---------------------------------------------------------------- captures
 
 
