@@ -213,7 +213,7 @@ def normalise(df: DataFrame, text: str, host: str, hosts: DataFrame, group: str,
     offset = F.coalesce("offset_s", F.when(F.col("abbr").isNotNull(), F.coalesce(own, F.when(F.col("abbr") == "GMT", 0))))
     rows = once(rows, {"_fixed": F.coalesce("count_us", F.col("local_us") - offset.cast("bigint") * US)}, rows.columns)
     free = F.col("_fixed").isNull() & F.col("abbr").isNull() & F.col("zone_name").isNull() & F.col("local_us").isNotNull()
-    clock = arrival_clock(rows.where(F.col(reference_us).isNull()), group, order, "_fixed")
+    clock = arrival_clock(rows.where(F.col(reference_us).isNull() & F.col("_host").isNotNull()), group, order, "_fixed")
     open_rows = rows.where(free & F.col("_host").isNotNull()).select(group, "_host", "_declared", "local_us", F.col(reference_us).alias("_seen"), F.floor(F.col(order) / BLOCK).alias("_block"))
     aligned = open_rows.join(clock, [group, "_block"], "left").withColumn("_reference", F.coalesce("_seen", "_clock"))
     seen = F.col("_seen").isNotNull()
