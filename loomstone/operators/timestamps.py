@@ -196,10 +196,13 @@ def normalise(df: DataFrame, text: str, host: str, hosts: DataFrame, group: str,
     without either use ``default_zone``, as do rows without a host.
 
     Null, blank, vague and impossible texts, and zoneless readings that the zone skips or passes twice, give null.
-    Rows are neither dropped nor multiplied, repeated ones come each; an empty table gives an empty one. The column
-    names ``utc_us``, ``zone`` and those beginning with ``_`` must not be in use, other columns are kept.
+    Rows are neither dropped nor multiplied, repeated ones come each; an empty table gives an empty one. All columns
+    are kept whatever their names; columns called ``utc_us`` and ``zone`` are replaced.
     """
-    spark = df.sparkSession
+    spark, kept = df.sparkSession, [c for c in df.columns if c not in ("utc_us", "zone")]
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")
+    df = df.select(whole_row, *[F.col(f"`{c}`").alias(n) for c, n in ((text, "_text"), (host, "_at_host"), (group, "_group"), (order, "_place"), (reference_us, "_when"))])
+    text, host, group, order, reference_us = "_text", "_at_host", "_group", "_place", "_when"
     known = [r for r in hosts.select("crawl_host", "tz_name", "date_order").distinct().collect() if r.crawl_host]
     if len(known) > 10_000:
         raise ValueError("the list of hosts is meant to be a fixed, short one")
@@ -225,4 +228,4 @@ def normalise(df: DataFrame, text: str, host: str, hosts: DataFrame, group: str,
     named = literal((z.upper(), z) for z in zones)[F.col("zone_name")]
     rows = rows.withColumn("zone", F.when(F.col("zone_name").isNotNull(), named).otherwise(zone))
     instant = F.coalesce("_fixed", F.when(F.col("abbr").isNull(), to_utc(F.col("local_us"), F.col("zone"))))
-    return once(rows, {"utc_us": instant}, [*df.columns, "zone"])
+    return once(rows, {"utc_us": instant}, ["_row", "zone"]).select("_row.*", "zone", "utc_us")

@@ -98,6 +98,14 @@ def test_unknown_zone_is_estimated(spark, by):
         assert out.count() == 600
 
 
+def test_clashing_columns(spark):
+    hosts = spark.createDataFrame(HOSTS, "crawl_host string, tz_name string, date_order string")
+    df = spark.createDataFrame([(1, "2025-02-16 10:00:00", "sha")], "id long, text string, host string").withColumns({n: F.lit("x") for n in ("abbr", "zone", "local_us", "count_us", "_host", "_t", "crawl_host", "tbl", "utc_us", "_row")})
+    df = df.withColumn("seen", F.lit(None).cast("long"))
+    out = T.normalise(df, "text", "host", hosts, "tbl", "id", "seen").first()
+    assert (out.utc_us, out.zone, out.abbr, out.local_us, out["_host"], out["_row"]) == (micros(2025, 2, 16, 2), "Asia/Shanghai", "x", "x", "x", "x")
+
+
 def test_empty_and_other_columns(spark):
     hosts = spark.createDataFrame(HOSTS, "crawl_host string, tz_name string, date_order string")
     df = spark.createDataFrame([], "id long, text string, host string, seen long, tbl string, crawl_host string, tz_name string")
