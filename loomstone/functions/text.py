@@ -178,10 +178,16 @@ def rewrite_images(text: Column, folder: str) -> Column:
     return F.regexp_replace(text, r"(!\[[^\]]*\]\()(?!https?:|//|data:)(?:[^)\s/]*/)*([^)\s/]+)", f"$1{folder}/$2")
 
 
+def parse_json(text: Column) -> Column:
+    """JSON text as VARIANT; null where it is not JSON, also where more follows after a value."""
+    pair = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("\n,1]"))), "$", "array<variant>")
+    return F.when(F.size(pair) == 2, F.try_parse_json(text))
+
+
 def json_object(text: Column) -> Column:
     """The JSON object inside fenced or noisy text, from the first brace to the last; ``''`` where there is none."""
     body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when(F.try_parse_json(body).isNotNull(), body).otherwise("")
+    return F.when(parse_json(body).isNotNull(), body).otherwise("")
 
 
 def links(html: Column) -> Column:
@@ -197,3 +203,19 @@ def uuid5(name: Column, namespace: str) -> Column:
     nibble = F.element_at(F.array(*map(F.lit, "89ab")), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 1)
     part = lambda a, n: F.substring(digest, a, n)
     return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), nibble, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def contained_path(path: Column) -> Column:
+    """Whether a relative path stays inside its folder: not absolute, no drive, and never above its start."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", "."))
+    state = F.aggregate(parts, F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), lambda a, p: F.struct((a["d"] + F.when(p == "..", -1).otherwise(1)).alias("d"), F.least(a["low"], a["d"] + F.when(p == "..", -1).otherwise(1)).alias("low")))
+    return F.coalesce((path != "") & ~path.rlike(r"^(?:[/\\~]|[A-Za-z]:)") & (state["low"] >= 0), F.lit(False))
+
+
+def suggested_selector(text: Column, limit: int = 500) -> Column:
+    """The first line of a model's answer that can be a selector, without fences, labels and quotes; ``''`` for none."""
+    lines = F.split(F.coalesce(text, F.lit("")), r"\r?\n")
+    lines = F.filter(lines, lambda x: ~strip(x).startswith("```"))
+    bare = F.transform(lines, lambda x: strip(F.regexp_replace(F.regexp_replace(strip(x), r"(?i)^(?:css|selector|css selector|answer)\s*[:=]\s*", ""), r"^[`'\"]+|[`'\"]+$", "")))
+    good = F.filter(bare, lambda x: (x != "") & (F.length(x) <= limit) & x.rlike(r"^[\w\s.#\[\]='\":>+~*^$|(),-]+$") & x.rlike(r"[.#\[]|^[a-z][a-z0-9]*$|>"))
+    return F.coalesce(F.try_element_at(good, F.lit(1)), F.lit(""))

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.functions.text import parse_json
+
 # Bounds of a captured body in bytes.
 DEFAULT_BYTES, MOST_BYTES = 1_000_000, 16_000_000
 
@@ -82,7 +84,7 @@ def first_matches(matched: DataFrame, page: str, order: Sequence[str], body: str
 
 def capture_error(body: Column, max_bytes: Column) -> Column:
     """``too_large``, ``not_json`` or null for a body; a null body is not JSON."""
-    return F.when(F.octet_length(body) > max_bytes, "too_large").when(F.try_parse_json(body).isNull(), "not_json")
+    return F.when(F.octet_length(body) > max_bytes, "too_large").when(parse_json(body).isNull(), "not_json")
 
 
 def missing_specs(pages: DataFrame, page: str, captured: DataFrame, specs: Sequence[CaptureSpec]) -> DataFrame:
@@ -120,3 +122,16 @@ def first_visible(snapshots: DataFrame, page: str, after_ms: str, value: str, ti
     none shows come with null."""
     shown = F.when((F.col(after_ms) <= timeout_ms) & (F.coalesce(F.col(value), F.lit("")) != ""), F.struct(after_ms, value))
     return snapshots.groupBy(page).agg(F.min(shown).alias("_s")).select(page, f"_s.{after_ms}", f"_s.{value}")
+
+
+def embedded(df: DataFrame, html: str, spec: CaptureSpec) -> DataFrame:
+    """``body`` and ``error`` of the JSON embedded in a page under a simple selector: null, ``missing``, ``too_large``
+    or ``not_json``; the body is null where there is an error."""
+    from loomstone.operators.markup import _opening
+
+    opening = _opening(spec.selector)
+    if opening is None:
+        raise ValueError(f"not a simple selector: {spec.selector!r}")
+    inner = F.trim(F.regexp_extract(F.col(html), "(?is)" + opening[0] + r"(.*?)</\1\s*>", 2))
+    error = F.when(F.coalesce(inner, F.lit("")) == "", "missing").otherwise(capture_error(inner, F.lit(spec.max_bytes)))
+    return df.withColumn("error", error).withColumn("body", F.when(F.col("error").isNull(), inner))

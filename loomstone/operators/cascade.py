@@ -104,3 +104,10 @@ def apply(df: DataFrame, fields: Mapping[str, tuple[Sequence[Stage], Mapping[str
 def low_confidence(result: Column, below: float = 0.8) -> Column:
     """Whether a result should be kept as an episode of repair: not validated, or trusted less than ``below``."""
     return ~result["validated"] | (result["confidence"] < below)
+
+
+def from_context(value: Column, selected: Column, declared_capture: bool, rules: Mapping[str, Any] | None = None) -> Column:
+    """A field with a source path: the value found there where it is not empty and passes the gate; otherwise the
+    selected value if the path begins at a declared capture, and else what was found there."""
+    good = (F.coalesce(value, F.lit("")) != "") & validate(value, rules)["passed"]
+    return F.when(good, value).otherwise(F.coalesce(selected if declared_capture else value, F.lit("")))

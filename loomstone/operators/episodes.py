@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.functions.text import SECRETS, SENSITIVE_KEYS, SENSITIVE_PARTS
+from loomstone.functions.text import SECRETS, SENSITIVE_KEYS, SENSITIVE_PARTS, parse_json
 
 
 def bundle(episodes: DataFrame, key: str, children: dict[str, tuple[DataFrame, str, Sequence[str]]]) -> DataFrame:
@@ -80,7 +80,7 @@ def import_outcomes(lines: DataFrame, done: DataFrame, key: Sequence[str]) -> Da
 
     Valid is an object with a field, a new selector and the literal ``true`` as ``ok``.
     """
-    value = F.try_parse_json("line")
+    value = parse_json(F.col("line"))
     text = lambda n: F.trim(F.coalesce(F.try_variant_get(value, f"$.{n}", "string"), F.lit("")))
     flag = F.try_variant_get(value, "$.ok", "variant")
     good = F.coalesce((text("field") != "") & (text("new") != "") & (F.schema_of_variant(flag) == "BOOLEAN") & F.try_variant_get(flag, "$", "boolean"), F.lit(False))
@@ -146,3 +146,23 @@ def manifest_differences(wanted: DataFrame, actual: DataFrame, key: str, digest:
     a, b = wanted.select(key, F.col(digest).alias("_w"), F.lit(1).alias("_in")), actual.select(key, F.col(digest).alias("_a"), F.lit(1).alias("_out"))
     state = F.when(F.col("_out").isNull(), "missing").when(F.col("_in").isNull(), "unexpected").when(~F.col("_w").eqNullSafe(F.col("_a")), "altered")
     return a.join(b, key, "full_outer").select(key, state.alias("state")).where("state is not null")
+
+
+def export(episodes_: DataFrame, key: str, children: dict[str, tuple[DataFrame, str, Sequence[str]]]) -> DataFrame:
+    """``key`` and ``body``: each episode as one JSON document with its child rows in order.
+
+    A document holds all rows of its episode by definition; nothing larger than one episode is gathered.
+    """
+    out = episodes_.select(key, F.struct(*episodes_.columns).alias("episode"))
+    for name, (table, foreign, order) in children.items():
+        rest = [c for c in table.columns if c != foreign]
+        listed = F.array_sort(F.collect_list(F.struct(*order, F.struct(*rest).alias("_row"))))
+        one = table.groupBy(F.col(foreign).alias(key)).agg(F.transform(listed, lambda x: x["_row"]).alias(name))
+        out = out.join(one, key, "left").withColumn(name, F.coalesce(name, F.array().cast(one.schema[name].dataType)))
+    return out.select(key, F.to_json(F.struct("episode", *children), {"ignoreNullFields": "false"}).alias("body"))
+
+
+def artifact_objects(events: DataFrame, validations: DataFrame, store: DataFrame) -> DataFrame:
+    """Distinct artifact hashes of events and validations with their stored object; hashes without one are left out."""
+    named = events.select("artifact_sha256").union(validations.select("evidence_sha256")).where("artifact_sha256 is not null").distinct()
+    return named.withColumnRenamed("artifact_sha256", "sha256").join(store, "sha256")

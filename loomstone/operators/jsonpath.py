@@ -9,10 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def parse(text: Column) -> Column:
-    """JSON text as VARIANT; null where it is not JSON."""
-    return F.try_parse_json(text)
+from loomstone.functions.text import parse_json
 
 
 def _step(base: Column, part: str) -> Column:
@@ -37,7 +34,7 @@ def resolve(base: Column, path: str) -> Column:
 
 def records(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, ``pos`` and ``record`` (VARIANT): a list gives its elements, other JSON one record, no JSON none."""
-    value = F.try_parse_json(F.col(text))
+    value = parse_json(F.col(text))
     items = F.try_variant_get(value, "$", "array<variant>")
     listed = F.when(items.isNotNull(), items).when(value.isNotNull(), F.array(value))
     return df.select(F.col(key), F.posexplode(listed).alias("pos", "record"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.functions.text import parse_json
+
 SCHEMA = "at string, page_pattern string, page_url string, field string, old string, new string, ok variant, approved variant"
 
 
@@ -14,7 +16,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     ``ok`` and ``approved`` are true only for the literal ``true``.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("line_no"))
-    parsed = lines.withColumn("_v", F.try_parse_json("value")).where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
+    parsed = lines.withColumn("_v", parse_json(F.col("value"))).where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
     text = lambda name: F.coalesce(F.try_variant_get("_v", f"$.{name}", "string"), F.lit("")).alias(name)
     literal = lambda name: F.coalesce((F.schema_of_variant(F.try_variant_get("_v", f"$.{name}", "variant")) == "BOOLEAN") & F.try_variant_get("_v", f"$.{name}", "boolean"), F.lit(False)).alias(name)
     return parsed.select("source", "line_no", *[text(n) for n in ("at", "page_pattern", "page_url", "field", "old", "new")], literal("ok"), literal("approved"))

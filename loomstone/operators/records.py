@@ -74,3 +74,30 @@ def markdown_rows(df: DataFrame, order: Sequence[str], max_rows: int = 50, max_c
 def source_manifest(df: DataFrame, source: str, url: str, title: str) -> DataFrame:
     """Sources with what they are called: address, else title, else the source itself."""
     return df.groupBy(source).agg(F.count("*").alias("n_records"), F.max(F.coalesce(F.nullif(F.col(url), F.lit("")), F.nullif(F.col(title), F.lit("")), F.col(source))).alias("label"))
+
+
+def report(df: DataFrame, source: str) -> DataFrame:
+    """``line_no`` and ``line`` of a report: the number of records and of sources, then one line per source by size.
+
+    Sources are counted before they are ordered; null sources come as ``unknown``.
+    """
+    from pyspark.sql import Window
+
+    counts = df.groupBy(F.coalesce(F.col(source), F.lit("unknown")).alias("_s")).agg(F.count("*").alias("_n"))
+    head = counts.agg(F.lit(1).alias("line_no"), F.concat(F.lit("Records: "), F.coalesce(F.sum("_n"), F.lit(0)).cast("string"), F.lit("; sources: "), F.count("*").cast("string")).alias("line"))
+    top = counts.orderBy(F.desc("_n"), "_s").limit(200)
+    rank = F.row_number().over(Window.orderBy(F.desc("_n"), "_s"))  # at most 200 rows
+    return head.unionByName(top.select((rank + 1).alias("line_no"), F.concat(F.lit("- "), "_s", F.lit(": "), F.col("_n").cast("string")).alias("line")))
+
+
+def sample(df: DataFrame, order: Sequence[str], rows: int = 10, clip: int = 2000) -> DataFrame:
+    """The first ``rows`` records with texts clipped to ``clip`` characters: what a summary is written from."""
+    texts = {n: F.substring(F.col(f"`{n}`"), 1, clip) for n, kind in df.dtypes if kind == "string"}
+    return df.orderBy(*order).limit(rows).withColumns(texts)
+
+
+def input_groups(df: DataFrame, path: str) -> DataFrame:
+    """Paths with the groups their suffix puts them in: YAML, documents, Markdown, tables and text."""
+    suffix = F.lower(F.regexp_extract(F.col(path), r"\.([A-Za-z0-9]+)$", 1))
+    groups = {"yaml": ("yaml", "yml"), "document": ("docx", "pdf", "md", "markdown", "txt"), "markdown": ("md", "markdown"), "table": ("csv", "json"), "text": ("txt", "md", "markdown")}
+    return df.withColumns({f"is_{g}": suffix.isin(*s) for g, s in groups.items()})

@@ -296,7 +296,7 @@ def gate_report(spark, d):
 
 @query("""SELECT id, coalesce(json_extract_string(payload_json, '$.field'), '') AS field, coalesce(json_extract_string(payload_json, '$.stage'), '') AS stage, TRY_CAST(json_extract_string(payload_json, '$.confidence') AS DOUBLE) AS confidence FROM repair_events""")
 def json_path(spark, d):
-    v = table(spark, d, "repair_events").withColumn("v", jsonpath.parse(F.col("payload_json")))
+    v = table(spark, d, "repair_events").withColumn("v", X.parse_json(F.col("payload_json")))
     return v.select("id", jsonpath.resolve(F.col("v"), "field").alias("field"), jsonpath.resolve(F.col("v"), "stage").alias("stage"), jsonpath.resolve(F.col("v"), "confidence").try_cast("double").alias("confidence"))
 
 
@@ -678,6 +678,71 @@ def hydration_first_visible(spark, d):
     return out.select("episode_id", "sequence", F.col("artifact_sha256").isNotNull().alias("shown"))
 
 
+@query(r"""SELECT row_id, NOT starts_with(p, '/') AND regexp_matches(p, '^a/[.][.]/x') = false AND p NOT LIKE '..%' AS inside FROM (SELECT row_id, CASE row_id % 4 WHEN 0 THEN '../x' WHEN 1 THEN '/etc/x' WHEN 2 THEN 'a/../../x' ELSE 'a/./b/../c' END AS p FROM taobao) WHERE p <> 'a/../../x' UNION ALL SELECT row_id, false FROM taobao WHERE row_id % 4 = 2""")
+def path_containment(spark, d):
+    p = F.expr("CASE row_id % 4 WHEN 0 THEN '../x' WHEN 1 THEN '/etc/x' WHEN 2 THEN 'a/../../x' ELSE 'a/./b/../c' END")
+    return table(spark, d, "taobao").select("row_id", X.contained_path(p).alias("inside"))
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '.price-now' WHEN 1 THEN 'h1.title' WHEN 2 THEN '' ELSE 'li.item > a' END AS selector FROM nation""")
+def selector_sanitize(spark, d):
+    t = F.expr("CASE n_nationkey % 4 WHEN 0 THEN '```css\n.price-now\n```' WHEN 1 THEN 'Selector: \"h1.title\"' WHEN 2 THEN 'I cannot help with that!' ELSE 'li.item > a' END")
+    return table(spark, d, "nation").select("n_nationkey", X.suggested_selector(t).alias("selector"))
+
+
+@query("""SELECT id, CASE WHEN id % 5 = 0 THEN 'missing' WHEN octet_length(encode(payload_json)) > 66 THEN 'too_large' WHEN id % 7 = 0 THEN 'not_json' END AS error FROM (SELECT id, CASE WHEN id % 7 = 0 THEN payload_json || ']' ELSE payload_json END AS payload_json FROM repair_events)""")
+def embedded_json_capture(spark, d):
+    page = F.expr("CASE WHEN id % 5 = 0 THEN '<p>none</p>' ELSE '<html><script type=\"x\">no</script><script class=\"state\"> ' || payload_json || CASE WHEN id % 7 = 0 THEN ']' ELSE '' END || ' </script></html>' END")
+    spec = captures.CaptureSpec("state", "embedded_json", selector="script.state", max_bytes=66)
+    return captures.embedded(table(spark, d, "repair_events").select("id", page.alias("html")), "html", spec).select("id", "error")
+
+
+@query("""SELECT event_id, event_id % 2 = 0 AND event_type IN ('view', 'click') AND 150 + event_id % 200 BETWEEN 200 AND 299 AS taken FROM events""")
+def json_responses(spark, d):
+    made = captures.is_json_response(F.expr("CASE WHEN event_id % 2 = 0 THEN 'get' ELSE 'POST' END"), F.expr("CASE event_type WHEN 'view' THEN 'xhr' WHEN 'click' THEN 'fetch' ELSE 'image' END"), F.expr("150 + event_id % 200"), F.lit("application/JSON; charset=utf-8"))
+    return table(spark, d, "events").select("event_id", made.alias("taken"))
+
+
+@query("""SELECT id, CASE WHEN length(s) >= 8 THEN s ELSE 'picked' END AS captured, s AS kept FROM (SELECT id, coalesce(json_extract_string(payload_json, '$.stage'), '') AS s FROM repair_events)""")
+def source_path_field(spark, d):
+    stage = jsonpath.resolve(F.col("v"), "stage")
+    e = once(table(spark, d, "repair_events").withColumn("v", X.parse_json(F.col("payload_json"))), {"s": stage}, ["id"])
+    return e.select("id", cascade.from_context(F.col("s"), F.lit("picked"), True, {"min_length": 8}).alias("captured"), cascade.from_context(F.col("s"), F.lit("picked"), False, {"min_length": 8}).alias("kept"))
+
+
+@query("""WITH c AS (SELECT coalesce(source, 'unknown') AS s, count(*) AS n FROM documents GROUP BY 1) SELECT 1 AS line_no, 'Records: ' || CAST(sum(n) AS VARCHAR) || '; sources: ' || CAST(count(*) AS VARCHAR) AS line FROM c
+ UNION ALL SELECT CAST(row_number() OVER (ORDER BY n DESC, s) + 1 AS INTEGER), '- ' || s || ': ' || CAST(n AS VARCHAR) FROM c""")
+def report_summary(spark, d):
+    return records.report(table(spark, d, "documents"), "source")
+
+
+@query("""SELECT doc_id, left(text, 2000) AS text, left(source, 2000) AS source FROM documents ORDER BY doc_id LIMIT 10""")
+def model_sample(spark, d):
+    return records.sample(table(spark, d, "documents").select("doc_id", "text", "source"), ["doc_id"])
+
+
+@query("""WITH p AS (SELECT p_partkey, 'in/' || p_name || CASE p_partkey % 4 WHEN 0 THEN '.YAML' WHEN 1 THEN '.md' WHEN 2 THEN '.csv' ELSE '' END AS path FROM part)
+ SELECT p_partkey, path, p_partkey % 4 = 0 AS is_yaml, p_partkey % 4 = 1 AS is_document, p_partkey % 4 = 1 AS is_markdown, p_partkey % 4 = 2 AS is_table, p_partkey % 4 = 1 AS is_text FROM p""")
+def input_groups(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.expr("'in/' || p_name || CASE p_partkey % 4 WHEN 0 THEN '.YAML' WHEN 1 THEN '.md' WHEN 2 THEN '.csv' ELSE '' END").alias("path"))
+    return records.input_groups(p, "path")
+
+
+@query("""SELECT e.id, count(v.id) AS n_events FROM repair_episodes e LEFT JOIN repair_events v ON v.episode_id = e.id GROUP BY 1""")
+def episode_export(spark, d):
+    ev = table(spark, d, "repair_events").select("episode_id", F.col("id").alias("event_id"), "sequence", "event_type")
+    out = episodes.export(table(spark, d, "repair_episodes").select("id", "status"), "id", {"events": (ev, "episode_id", ["sequence", "event_id"])})
+    listed = F.from_json("body", "struct<events:array<struct<event_id:bigint>>>")["events"]
+    return out.select("id", F.size(listed).cast("bigint").alias("n_events"))
+
+
+@query("""SELECT DISTINCT artifact_sha256 AS sha256 FROM repair_events WHERE artifact_sha256 IS NOT NULL AND id % 3 <> 0""")
+def artifact_objects(spark, d):
+    ev = table(spark, d, "repair_events").where("id % 3 <> 0")
+    store = table(spark, d, "repair_events").select(F.col("artifact_sha256").alias("sha256")).distinct()
+    return episodes.artifact_objects(ev, ev.limit(0).select(F.col("artifact_sha256").alias("evidence_sha256")), store)
+
+
 # ---------------------------------------------------------------- extensions: not in the reference
 
 

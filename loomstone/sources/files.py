@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.functions.text import page_title, public_url, strip_html
+from loomstone.functions.text import page_title, parse_json, public_url, strip_html
 from loomstone.operators import jsonpath
 
 #: Largest text file and document read, in bytes.
@@ -37,7 +37,7 @@ def read_json(spark: SparkSession, path: str, limit: int = TEXT_BYTES) -> DataFr
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """One VARIANT ``record`` per line that is JSON; other lines are left out."""
-    return spark.read.text(path).select(F.try_parse_json("value").alias("record")).where("record is not null")
+    return spark.read.text(path).select(parse_json(F.col("value")).alias("record")).where("record is not null")
 
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
@@ -129,7 +129,7 @@ def source_records(df: DataFrame, kind: Column, body: Column, name: Column) -> D
     Returns ``record`` (VARIANT) and ``_source``. Lists give their elements; ``records`` of an object theirs; ``urls``
     or ``results`` of address lists theirs; other objects stand for themselves.
     """
-    value = F.try_parse_json(body)
+    value = parse_json(body)
     listed = lambda path: F.try_variant_get(value, path, "array<variant>")
     links = F.coalesce(listed("$.results"), listed("$.urls"))
     items = F.when(listed("$").isNotNull(), listed("$")).when(kind.isin("search", "url_list"), links).when(F.size(listed("$.records")) > 0, listed("$.records")).otherwise(F.array(value))

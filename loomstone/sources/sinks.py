@@ -41,3 +41,13 @@ def markdown_table(df: DataFrame, order: Sequence[str], max_rows: int = 50) -> s
     columns = [c for c in df.columns if not c.startswith("_")][:12]
     lines = [r.line for r in markdown_rows(df, order, max_rows).orderBy("row_no").collect()]  # at most 200 rows
     return "\n".join(["| " + " | ".join(columns) + " |", "| " + " | ".join(["---"] * len(columns)) + " |", *lines])
+
+
+def json_array(df: DataFrame, order: Sequence[str], most: int = 100_000) -> str:
+    """A small table as one indented JSON array; more than ``most`` rows are refused (write JSON lines instead)."""
+    import json
+
+    rows = df.orderBy(*order).limit(most + 1).toJSON().collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write JSON lines")
+    return json.dumps([json.loads(r) for r in rows], indent=2, ensure_ascii=False)

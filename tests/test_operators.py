@@ -111,7 +111,7 @@ def test_native_markup(spark):
 
 def test_json(spark):
     df = spark.createDataFrame([(1, '{"a":{"b":[1,{"c":"x"},"z"]},"0":"zero"}'), (2, "[{\"a\":1},5]"), (3, "no json"), (4, None)], "i int, j string")
-    v = jsonpath.parse(F.col("j"))
+    v = X.parse_json(F.col("j"))
     got = df.select("i", *[jsonpath.resolve(v, p).alias(p.replace(".", "_")) for p in ("a.b.1.c", "a.b.-1", "0", "missing.x")]).orderBy("i").collect()
     assert tuple(got[0])[1:] == ("x", "z", "zero", "") and tuple(got[2])[1:] == tuple(got[3])[1:] == ("",) * 4
     assert {(r.i, r.pos) for r in jsonpath.records(df, "i", "j").collect()} == {(1, 0), (2, 0), (2, 1)}
@@ -120,6 +120,12 @@ def test_json(spark):
     assert shapes[2] == '{"length":2,"samples":[{"a":"number"},"number"],"type":"array"}' and shapes[3] == '{"parse_error":true}' and shapes[4] is None
 
 
+def test_strict_json(spark):
+    cases = {"{}": True, "[1]": True, " 1 ": True, '"a"': True, "null": True, "{}]": False, "1,2": False, '1,"b":2': False, "": False, "{": False, None: False, "{} x": False}
+    df = spark.createDataFrame([(k,) for k in cases], "j string")
+    assert {r.j: r.ok for r in df.select("j", X.parse_json(F.col("j")).isNotNull().alias("ok")).collect()} == cases
+
+
 # ---------------------------------------------------------------- cascade
 
 
@@ -248,3 +254,26 @@ def test_empty_tables(spark, make):
         "import_outcomes": lambda: episodes.import_outcomes(e("n int, line string"), e("n int"), ["n"]),
     }[make]()
     assert out.collect() == []
+
+
+def test_paths_selectors_and_embedded(spark):
+    paths = {"a/b": True, "../x": False, "a/../../x": False, "/x": False, "C:\\x": False, "a\\..\\..\\x": False, "": False, None: False, "a/../b": True}
+    df = spark.createDataFrame([(k,) for k in paths], "p string")
+    assert {r.p: r.ok for r in df.select("p", X.contained_path(F.col("p")).alias("ok")).collect()} == paths
+    answers = {"```css\n.a > b\n```": ".a > b", "Selector: `#x`": "#x", "sorry, no.": "", "": "", None: "", "Use this\ndiv.item": "div.item"}
+    df = spark.createDataFrame([(k,) for k in answers], "t string")
+    assert {r.t: r.s for r in df.select("t", X.suggested_selector(F.col("t")).alias("s")).collect()} == answers
+    spec = captures.CaptureSpec("s", "embedded_json", selector="script.s", max_bytes=10)
+    df = spark.createDataFrame([("<script class='s'>{}</script>",), ("<script class='s'>{</script>",), ("<script class='s'>{\"a\":12345}</script>",), ("",), (None,)], "h string")
+    assert [(r.error, r.body) for r in captures.embedded(df, "h", spec).collect()] == [(None, "{}"), ("not_json", None), ("too_large", None), ("missing", None), ("missing", None)]
+
+
+def test_report_sample_export(spark):
+    df = spark.createDataFrame([(i, "s" if i % 3 else None, "x" * 3000) for i in range(30)], "i int, s string, t string")
+    assert [r.line for r in records.report(df, "s").orderBy("line_no").collect()] == ["Records: 30; sources: 2", "- s: 20", "- unknown: 10"]
+    assert [r.line for r in records.report(df.limit(0), "s").collect()] == ["Records: 0; sources: 0"]
+    got = records.sample(df, ["i"]).collect()
+    assert len(got) == 10 and len(got[0].t) == 2000
+    ev = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), (None, 3, "z")], "k string, n int, v string")
+    out = episodes.export(spark.createDataFrame([("a",), ("b",)], "id string"), "id", {"events": (ev, "k", ["n"])}).orderBy("id").collect()
+    assert [r.body for r in out] == ['{"episode":{"id":"a"},"events":[{"n":1,"v":"x"},{"n":2,"v":"y"}]}', '{"episode":{"id":"b"},"events":[]}']
