@@ -217,5 +217,5 @@ def suggested_selector(text: Column, limit: int = 500) -> Column:
     lines = F.split(F.coalesce(text, F.lit("")), r"\r?\n")
     lines = F.filter(lines, lambda x: ~strip(x).startswith("```"))
     bare = F.transform(lines, lambda x: strip(F.regexp_replace(F.regexp_replace(strip(x), r"(?i)^(?:css|selector|css selector|answer)\s*[:=]\s*", ""), r"^[`'\"]+|[`'\"]+$", "")))
-    good = F.filter(bare, lambda x: (x != "") & (F.length(x) <= limit) & x.rlike(r"^[\w\s.#\[\]='\":>+~*^$|(),-]+$") & x.rlike(r"[.#\[]|^[a-z][a-z0-9]*$|>"))
+    good = F.filter(bare, lambda x: (x != "") & (F.length(x) <= limit) & x.rlike(r"^[\w\s.#\[\]='\":>+~*^$|(),-]+$") & x.rlike(r"[.#][A-Za-z_-]|\[|^[a-z][a-z0-9]*$|>"))
     return F.coalesce(F.try_element_at(good, F.lit(1)), F.lit(""))
