@@ -43,8 +43,8 @@ def plain_table() -> dict[int, str | None]:
 class Features:
     """Sentences of a text and their hashed features, remembering words and sentences seen."""
 
-    def __init__(self, bits: int = BITS) -> None:
-        self.mask, self.table = (1 << bits) - 1, plain_table()
+    def __init__(self, bits: int = BITS, table: dict[int, str | None] | None = None) -> None:
+        self.mask, self.table = (1 << bits) - 1, plain_table() if table is None else table
         self.words: dict[str, list[int]] = {}
 
     def sentences(self, text: str) -> list[str]:
@@ -213,12 +213,12 @@ def score(docs: DataFrame, key: str, text: str, model: OrdinalModel, keep: Seque
     Null and blank texts have severity 0 and no sentence. Every text is read whole. Repeated rows are scored each.
     """
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds, model.bits))
+    shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds, model.bits, plain_table()))
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, thresholds, bits = shared.value
-        own, features, known = OrdinalModel(weights, thresholds, bits), Features(bits), {}
+        weights, thresholds, bits, letters = shared.value
+        own, features, known = OrdinalModel(weights, thresholds, bits), Features(bits, letters), {}
         for batch in batches:
             worst, lines = [], []
             for value in batch["_text"]:
