@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import lookalikes
+from loomstone.session import once
 
 # Names of fields that shops and page templates fill in.
 FIELD_WORDS = "标题|品牌|规格|商品名称|商品名|商品标题|店铺名称|店铺|名称|价格|原价|型号|颜色|尺码|数量|库存|图片|链接|分类|描述|用户名|姓名|日期|时间"
@@ -41,6 +42,8 @@ PLACEHOLDERS = (
     r"(?:^|[\s|_-])%[sd](?=$|[\s|_-])",
 )
 PLACEHOLDER = "(?i)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS)
+#: A sign that every placeholder holds; a cheap look before the grammars are tried.
+PLACEHOLDER_HINT = r"(?i)[{<%@\[]|__|:placeholder|&lt;"
 CODE_SPAN = r"`[^`]*`|<code>.*?</code>"
 CODE_TALK = r"(?i)模板|语法|教程|template|syntax|jinja|django|handlebars|mustache|cheat ?sheet|escap(?:e|ing)"
 
@@ -102,6 +105,8 @@ SCRIPTS = (
     r"(?:浏览前|继续前|访问前)?(?:请先?|您?(?:必须|需要|应)(?:您)?(?:先)?|需要您|需|先)?(?:在设置中)?(?:开启|启用|打开|允许|解除禁用|激活|启动|恢复)(?: ?cookie ?和?)? ?(?:浏览器)? ?(?:java ?scr?i?p?t?|js|脚本|cookie).{0,30}",
     r"(?:本站|本页|本店|此页|该网站|页面)(?:需要|须|必须)?(?:启用|开启|打开|使用)?(?:脚本|java ?script|js).{0,20}|检测到(?:您的)?(?:脚本|java ?script|js|浏览器).{0,24}|您的浏览器(?:不支持|已禁用|未启用|禁用了|关闭了).{0,24}|.{0,6}(?:java ?script|脚本)(?:已被禁用|被禁用|已禁用|未启用|不可用).{0,20}",
 )
+#: What every notice about scripts holds; a cheap look before the phrases are tried.
+SCRIPTS_HINT = r"(?i)java|script|skript|\bjs\b|脚本|cookie|浏览器|检测到|\.\.\.|merci d'|veuillez|vous devez|il faut|nécessite|por favor|debe|tiene que|necesita|requiere"
 #: Real texts about scripts and errors.
 ABOUT = r"(?i)从入门|图书|手册|方案对比|options compared|explained|第 ?\d+ ?(?:版|期|讲)|compared|field guide|verstehen|comprendre|épisode|为什么"
 
@@ -114,29 +119,35 @@ def _whole(phrases: Sequence[str]) -> str:
     return "(?iu)^[\\s\"'“「(\\[]*(?:" + _CODE + ")?(?:" + "|".join(phrases) + ")" + _AFTER + _COUNTER + _PUNCT + "[\\s\"'”」)\\]]*$"
 
 
-def _any_segment(text: Column, pattern: str) -> Column:
-    """Whether the text or one of its segments fills the pattern."""
+def parts(text: Column) -> Column:
+    """The text and, where it has several, its segments."""
     segments = F.split(text, r"\s+[|·–—-]\s+|\s*[|｜_]\s*|: (?=\p{L})")
-    return text.rlike(pattern) | F.exists(segments, lambda s: s.rlike(pattern))
+    return F.when(F.size(segments) > 1, F.concat(F.array(text), segments)).otherwise(F.array(text))
 
 
-def residue_kind(text: Column) -> Column:
+def has_placeholder(text: Column) -> Column:
+    """Whether a text holds an unfilled placeholder outside code spans and talk about templates."""
+    visible = F.regexp_replace(text, CODE_SPAN, " ")
+    dense = F.length(F.regexp_replace(visible, PLACEHOLDER, "")) <= 0.5 * F.length(visible)
+    return text.rlike(PLACEHOLDER_HINT) & visible.rlike(PLACEHOLDER) & (dense | ~visible.rlike(CODE_TALK))
+
+
+def residue_kind(text: Column, segments: Column | None = None) -> Column:
     """``placeholder``, ``mistake``, ``filler``, ``scripts``, ``error`` -- or null for content, blanks and null.
 
-    ``text`` is expected in canonical form (see :mod:`loomstone.llm.lookalikes`).
+    ``text`` is expected in canonical form (see :mod:`loomstone.llm.lookalikes`); ``segments`` may hold its
+    :func:`parts` where they are a column already.
     """
-    visible = F.regexp_replace(text, CODE_SPAN, " ")
-    rest = F.length(F.regexp_replace(visible, PLACEHOLDER, ""))
-    dense = rest <= 0.5 * F.length(visible)
-    placeholder = visible.rlike(PLACEHOLDER) & (dense | ~visible.rlike(CODE_TALK))
+    segments = parts(text) if segments is None else segments
+    fills = lambda phrases: F.exists(segments, lambda s: s.rlike(_whole(phrases)))
     about = text.rlike(ABOUT)
     return (
         F.when(text.isNull() | (F.trim(text) == ""), None)
-        .when(placeholder, "placeholder")
-        .when(_any_segment(text, _whole(MISTAKE)), "mistake")
-        .when(_any_segment(text, _whole(FILLER)), "filler")
-        .when(~about & _any_segment(text, _whole(SCRIPTS)), "scripts")
-        .when(~about & _any_segment(text, _whole(ERROR)), "error")
+        .when(has_placeholder(text), "placeholder")
+        .when(fills(MISTAKE), "mistake")
+        .when(fills(FILLER), "filler")
+        .when(text.rlike(SCRIPTS_HINT) & fills(SCRIPTS) & ~about, "scripts")
+        .when(fills(ERROR) & ~about, "error")
     )
 
 
@@ -147,5 +158,6 @@ def find(df: DataFrame, key: str, field: str) -> DataFrame:
     texts are searched whole.
     """
     wide = lookalikes.canonical(df, [key], [field])
-    rows = wide.select(key, F.inline(F.array(F.struct(F.col(f"`{field + lookalikes.SUFFIX}`").alias("text")))))
-    return rows.select(key, "text", F.inline(F.array(F.struct(residue_kind(F.col("text")).alias("kind"))))).where(F.col("kind").isNotNull())
+    rows = once(wide, {"text": F.col(f"`{field + lookalikes.SUFFIX}`")}, [key])
+    rows = once(rows, {"_parts": parts(F.col("text"))}, [key, "text"])
+    return once(rows, {"kind": residue_kind(F.col("text"), F.col("_parts"))}, [key, "text"]).where(F.col("kind").isNotNull())
