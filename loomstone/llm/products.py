@@ -1,11 +1,13 @@
 """Listings of different sellers that offer the same product.
 
 Titles and sku names are reduced to normalised tokens: brand, model, series, size, colour and number of pieces, with
-marketing words left out. The identity sets (brand, model, series) go through a set-similarity join: tokens are
-ordered by rarity, a set looks only for its rarest token, containers offer only the positions a contained set can
-start at (length and positional filter), and every candidate is verified by exact weighted containment. Stars around
-the fullest sets then tie a listing that names only the series to one that names only the model. A class is one
-product in one size, colour and number of pieces.
+marketing words left out. The identity sets (brand, model, series) go through a weighted set-similarity join: document
+frequencies are counted, rare tokens come first and weigh more, a set looks only for the tokens of its prefix, sets
+too light or met too late are passed over (length and positional filter), and every candidate is verified by exact
+weighted containment. Stars around the fullest sets then tie a listing that names only the series to one that names
+only the model. A class is one product in one size, colour and number of pieces: those must be equal, so they are a
+key of the class and no tokens that similar others could outweigh. Other words of a title enter no set, since
+wording must not part two listings.
 
 Only distinct sets enter the join, so copies, however many, weigh nothing. Pairs of a class are written only where
 the result is defined as pairs; classes that are hot are salted.
@@ -213,38 +215,64 @@ def brands(rows: DataFrame) -> DataFrame:
     return beside.groupBy("name").agg(F.max_by("latin", F.struct("count", "latin")).alias("_latin"))
 
 
+def ordered_sets(sets: DataFrame) -> DataFrame:
+    """Each of ``sets`` (``brand``, ``model``, ``series``, ``n`` listings) with its tokens, the rarest first.
+
+    ``_set`` holds ``df`` (listings that hold the token, counted), ``token``, ``w`` (its weight, in thousandths of
+    ``ln(1 + listings / df)``, whole so that sums are exact), ``before`` and ``after`` (weight of the tokens around
+    it); ``_w`` is the weight of the set.
+    """
+    kinds = ["brand", "model", "series"]
+    tokens = F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat_ws("\x1f", F.lit(c), c)) for c in kinds]))
+    flat = sets.select(*kinds, "n", F.explode(tokens).alias("token"))
+    listings = F.broadcast(sets.agg(F.sum("n").alias("_all")))  # one row
+    counted = flat.groupBy("token").agg(F.sum("n").alias("df")).crossJoin(listings)
+    counted = counted.select("token", "df", F.round(1000 * F.log1p(F.col("_all") / F.col("df"))).cast("long").alias("w"))
+    one = flat.join(counted, "token").groupBy(*kinds).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token", "w"))).alias("_set"))
+    weight = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda sum_, t: sum_ + t["w"])
+    one = one.withColumn("_w", weight(F.col("_set")))
+    placed = F.transform("_set", lambda t, i: F.struct(t["df"].alias("df"), t["token"].alias("token"), t["w"].alias("w"), weight(F.slice("_set", F.lit(1), i)).alias("before")))
+    return one.withColumn("_set", F.transform(placed, lambda t: t.withField("after", F.col("_w") - t["before"] - t["w"])))
+
+
+def contained(parts: DataFrame, containers: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a set of ``parts`` and a set of ``containers`` that holds at least ``threshold`` of its weight.
+
+    Both come from one :func:`ordered_sets`; columns are those of the two with ``a_`` and ``b_`` before them. A pair
+    is met once, at the rarest token its sets share.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must lie in (0, 1]")
+    a, b = (d.select(*[F.col(c).alias(f"{p}{c}") for c in d.columns]) for d, p in ((parts, "a_"), (containers, "b_")))
+    least = F.broadcast(parts.agg(F.min("_w").alias("_least")))  # one row
+    # Prefix: the rarest shared token is one from which on there is weight enough.
+    left = a.select("*", F.inline("a__set").alias("_df", "token", "_wt", "_before", "_after_a")).where(F.col("a__w") - F.col("_before") >= threshold * F.col("a__w")).drop("_df", "_before")
+    right = b.crossJoin(least).select("*", F.inline("b__set").alias("_df", "token", "_wt_b", "_before", "_after_b"))
+    right = right.where(F.col("b__w") - F.col("_before") >= threshold * F.col("_least")).drop("_df", "_wt_b", "_before", "_least")
+    enough = threshold * F.col("a__w")
+    met = left.join(right, "token").where(F.col("b__w") >= enough).where(F.col("_wt") + F.least("_after_a", "_after_b") >= enough)  # length, position
+    common = F.filter("a__set", lambda t: F.array_contains(F.col("b__set")["token"], t["token"]))
+    met = met.where(F.aggregate(common, F.lit(0).cast("long"), lambda sum_, t: sum_ + t["w"]) >= enough)
+    return met.where(common[0]["token"] == F.col("token")).drop("token", "_wt", "_after_a", "_after_b")
+
+
 def identities(rows: DataFrame, threshold: float = 1.0) -> DataFrame:
     """``brand``, ``model``, ``series`` of each distinct identity set and the ``product`` it belongs to.
 
-    ``rows`` holds ``brand``, ``model``, ``series`` (``''`` where missing). A set is joined to the sets that contain
-    it with at least ``threshold`` of its weight; the weight of a token is 1, so a threshold of 1 asks for all.
+    ``rows`` holds ``brand``, ``model``, ``series`` (``''`` where missing). A set that lacks its model or its series
+    is joined to the full sets that contain it with at least ``threshold`` of its weight; 1 asks for all of it.
     """
     sets = rows.groupBy("brand", "model", "series").agg(F.count("*").alias("n"))
-    token = lambda kind, c: F.when(F.col(c) != "", F.concat_ws("\x1f", F.lit(kind), "brand", c))
-    sets = cut_lineage(sets.withColumns({"tm": token("m", "model"), "ts": token("s", "series")}))
-    # Rarity: models and series are written with their brand, so a brand is never rarer than they are and comes last.
+    sets = cut_lineage(ordered_sets(cut_lineage(sets)))
     full = sets.where("model <> '' and series <> ''")
-    part = sets.where("model = '' or series = ''").withColumn("token", F.coalesce("tm", "ts"))
-    # Prefix of a contained set {brand, x}: its rarest token x. Positions of a container {brand, model, series} at
-    # which a set of length 2 can start: the first |container| - 2 + 1 = 2, which are its model and its series.
-    offered = full.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.col(t).alias("token"), F.concat_ws("\x1f", "brand", "model").alias("centre"), F.col("n").alias("weight"), F.array("brand", "tm", "ts").alias("_set"))
-                    for t in ("tm", "ts")
-                ]
-            )
-        )
-    )
-    joined = part.join(offered, "token").where(
-        F.size(F.array_intersect(F.array("brand", "token"), "_set")) >= threshold * 2  # exact weighted containment
-    )
+    part = sets.where("model = '' or series = ''")
+    own = F.when(F.col("model") != "", F.concat_ws("\x1f", "brand", "model")).otherwise(F.concat_ws("\x1f", "brand", F.lit(""), "series"))
+    joined = contained(part.select("brand", "model", "series", "_set", "_w"), full.select(own.alias("centre"), "n", "_set", "_w"), threshold)
+    joined = joined.select(F.col("a_brand").alias("brand"), F.col("a_model").alias("model"), F.col("a_series").alias("series"), F.col("b_centre").alias("centre"), F.col("b_n").alias("weight"))
     votes = joined.groupBy("brand", "model", "series", "centre").agg(F.sum("weight").alias("votes"))
     best = votes.groupBy("brand", "model", "series").agg(F.max_by("centre", F.struct("votes", "centre")).alias("centre"), F.max("votes").alias("top"), F.sum("votes").alias("all"))
     # A series that several models share is no identity of its own: it stays alone unless one model clearly leads.
     stars = best.where("top >= 0.8 * all").select("brand", "model", "series", F.col("centre").alias("product"))
-    own = F.when(F.col("model") != "", F.concat_ws("\x1f", "brand", "model")).otherwise(F.concat_ws("\x1f", "brand", F.lit(""), "series"))
     alone = part.join(stars, ["brand", "model", "series"], "left_anti").select("brand", "model", "series", own.alias("product"))
     centres = full.select("brand", "model", "series", own.alias("product"))
     return centres.unionByName(stars).unionByName(alone)

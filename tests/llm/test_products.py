@@ -74,3 +74,27 @@ def test_like_brute_force(spark, data):
             want.add((a[0], b[0]))
     got = {tuple(r) for r in P.pairs(P.classes(df, "row_id", "商品标题", "sku名称", "卖家昵称", "received_at")).collect()}
     assert got == want and got
+
+
+def test_containment_like_brute_force(spark):
+    rows = [(f"B{i % 3}", f"m{i % 5}" if i % 4 else "", f"s{i % 7}" if i % 4 == 0 or i % 3 else "", 1 + i % 6) for i in range(90)]
+    rows = sorted({r[:3]: r for r in rows}.values())
+    sets = P.ordered_sets(spark.createDataFrame(rows, "brand string, model string, series string, n long")).cache()
+    held = {(r.brand, r.model, r.series): {t.token: t.w for t in r["_set"]} for r in sets.collect()}
+    counts = {t.token: t.df for r in sets.collect() for t in r["_set"]}
+    assert counts["brand\x1fB0"] == sum(n for b, _, _, n in rows if b == "B0") and len(held) == len(rows)
+    full, part = sets.where("model <> '' and series <> ''"), sets.where("model = '' or series = ''")
+    sizes = []
+    for threshold in (0.3, 0.6, 1.0):
+        want = sorted((a, b) for a in held if not all(a) for b in held if all(b) and sum(w for t, w in held[a].items() if t in held[b]) >= threshold * sum(held[a].values()))
+        got = sorted(((r.a_brand, r.a_model, r.a_series), (r.b_brand, r.b_model, r.b_series)) for r in P.contained(part, full, threshold).collect())
+        assert got == want
+        sizes.append(len(got))
+    assert sizes[0] > sizes[1] > sizes[2] > 0
+
+
+def test_threshold_decides(spark):
+    rows = [("A", "m1", "s1")] * 3 + [("A", "m2", "s2")] * 20 + [("B", "", "s1")] + [("B", "m3", "s3")] * 20
+    df = spark.createDataFrame(rows, "brand string, model string, series string")
+    product = lambda threshold: {tuple(r)[:3]: r["product"] for r in P.identities(df, threshold).collect()}[("B", "", "s1")]
+    assert product(1.0) == "B\x1f\x1fs1" and product(0.5) == "A\x1fm1"
