@@ -26,7 +26,15 @@ from loomstone.llm.lookalikes import SAME, SAME_LATIN, compatibility_forms
 
 #: Length of the weight vector, a power of two.
 BITS = 18
-_SENTENCE = re.compile(r"[^.!?。！？\n…]+(?:[.!?。！？…]+(?=\s|$|[^\x00-\x7f])|[。！？]+|\n|$)?")
+_HANS = "一-鿿぀-ヿ가-힯"
+# A sentence ends at '.', '!' or '?' only before a blank, the end or a character beyond ASCII, or where they stand in a row.
+_END = r"[.!?…]+[\"')\]]*(?=\s|$|[^\x00-\x7f])|[.!?]{2,}|[。！？…]+|\n|$"
+_SENTENCE = re.compile(rf"(?:(?!{_END})[^\n])+(?:{_END})")
+# Words written in single letters with one sign or blank between them, each time the same; Han characters likewise,
+# also only two of them where the sign has no other use between them.
+_LETTER = rf"[^\W\d_{_HANS}]"
+_SPELLED = re.compile(rf"(?<![^\W{_HANS}]){_LETTER}([^\w\s]|[_ ]){_LETTER}(?:\1{_LETTER})+(?![^\W{_HANS}])|[{_HANS}]([^\w\s]|[_ ])[{_HANS}](?:\2[{_HANS}])+|[{_HANS}][*~^#@$_][{_HANS}]")
+_SIGNS = re.compile(r"[^\w\s]|[_ ]")
 _WORD = re.compile(r"[一-鿿぀-ヿ가-힯]+|[^\W\d_]+(?:[*@$0-9'’·._-]+[^\W\d_]+)*|\d+|[*@$]+")
 _HAN = re.compile(r"[一-鿿぀-ヿ가-힯]")
 
@@ -48,8 +56,9 @@ class Features:
         self.words: dict[str, list[int]] = {}
 
     def sentences(self, text: str) -> list[str]:
-        """Sentences with digits masked, in order, each once."""
+        """Sentences with digits masked and spelled-out words joined, in order, each once."""
         text = re.sub(r"\d+(?:[.,:/-]\d+)*", "0", text.translate(self.table).lower())
+        text = _SPELLED.sub(lambda m: _SIGNS.sub("", m[0]), text)
         return list(dict.fromkeys(s for m in _SENTENCE.findall(text) if (s := m.strip())))
 
     def _hash(self, feature: str) -> int:

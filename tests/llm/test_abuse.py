@@ -56,3 +56,22 @@ def test_nothing_to_learn_from(spark):
     model = A.train(docs, labels, "doc_id", "text", "abusive", bits=10)
     assert A.score(docs, "doc_id", "text", model).first().severity < 1e-6
     assert A.score(docs.limit(0), "doc_id", "text", model).collect() == []
+
+
+def test_spelled_out_words_are_read():
+    f = A.Features(15)
+    for text, want in [
+        ("you d.i.c.k.h.e.a.d go away", ["you dickhead go away"]),
+        ("Ich will f-i-c-k-e-n. Gut.", ["ich will ficken.", "gut."]),
+        ("un s a l o p e.", ["un salope."]),
+        ("是垃*圾*东*西，你个王*八*蛋！", ["是垃圾东西,你个王八蛋!"]),
+        ("客服是垃 圾 东 西吧", ["客服是垃圾东西吧"]),
+    ]:
+        assert f.sentences(text) == want
+    assert set(f.of("ficken")) == set(f.of(f.sentences("F-I-C-K-E-N")[0]))
+
+
+def test_sentence_ends():
+    f = A.Features(15)
+    got = f.sentences('See www.shop.com/x. Fine! "Go!" Then... now it holds!!so 好。不错！Ende a, b, c')
+    assert got == ["see www.shop.com/x.", "fine!", '"go!"', "then...", "now it holds!!", "so 好。", "不错!ende a, b, c"]
