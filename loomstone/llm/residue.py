@@ -106,7 +106,7 @@ SCRIPTS = (
     r"(?:本站|本页|本店|此页|该网站|页面)(?:需要|须|必须)?(?:启用|开启|打开|使用)?(?:脚本|java ?script|js).{0,20}|检测到(?:您的)?(?:脚本|java ?script|js|浏览器).{0,24}|您的浏览器(?:不支持|已禁用|未启用|禁用了|关闭了).{0,24}|.{0,6}(?:java ?script|脚本)(?:已被禁用|被禁用|已禁用|未启用|不可用).{0,20}",
 )
 #: What every notice about scripts holds; a cheap look before the phrases are tried.
-SCRIPTS_HINT = r"(?i)java|script|skript|\bjs\b|脚本|cookie|浏览器|检测到|\.\.\.|merci d'|veuillez|vous devez|il faut|nécessite|por favor|debe|tiene que|necesita|requiere"
+SCRIPTS_HINT = r"(?iu)java|script|skript|js|脚本|cookie|浏览器|检测到|\.\.\.|merci d'|veuillez|vous devez|il faut|nécessite|por favor|debe|tiene que|necesita|requiere|navegador"
 #: Real texts about scripts and errors.
 ABOUT = r"(?i)从入门|图书|手册|方案对比|options compared|explained|第 ?\d+ ?(?:版|期|讲)|compared|field guide|verstehen|comprendre|épisode|为什么"
 

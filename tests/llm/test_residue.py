@@ -35,3 +35,9 @@ def test_edges(spark):
     got = sorted((r.k, r.kind) for r in R.find(df, "k", "t").collect())
     assert got == [(2, "placeholder"), (3, "mistake"), (3, "mistake")]
     assert R.find(df.limit(0), "k", "t").collect() == []
+
+
+def test_every_scripts_notice_passes_the_hint(spark):
+    notices = ["Habilite las secuencias de comandos en su navegador", "请启用js后继续", "本站需要启用js", "CE SITE NÉCESSITE LES SCRIPTS"]
+    df = spark.createDataFrame(list(enumerate(notices)), "k long, t string")
+    assert {r.text: r.kind for r in R.find(df, "k", "t").collect()} == dict.fromkeys(notices, "scripts")
