@@ -59,6 +59,20 @@ def spread(weights: Mapping[Leaf, float], capacity: Mapping[Leaf, float], budget
     return out
 
 
+def without_texts(leaf: Leaf, weight: float, held: Mapping[Leaf, float]) -> dict[Leaf, float]:
+    """The leaves of a source without texts, over the languages of its domain as their weights in ``held`` stand.
+
+    So what the source leaves short falls on all texts of its domain alike. A domain without texts gives ``leaf``.
+    """
+    domain, _, source = leaf
+    languages: dict[str, float] = {}
+    for (d, language, _), w in held.items():
+        if d == domain:
+            languages[language] = languages.get(language, 0.0) + w
+    base = sum(languages.values())
+    return {(domain, language, source): weight * w / base for language, w in languages.items()} if base > 0 else {leaf: weight}
+
+
 def largest_true_budget(weights: Mapping[Leaf, float], capacity: Mapping[Leaf, float]) -> float:
     """The largest budget at which no leaf that has texts falls short of its part."""
     endless = {p: (float("inf") if capacity[p] > 0 else 0.0) for p in weights}
@@ -89,7 +103,7 @@ class Mixture:
         A text counts once, however many copies there are: the copy with the lowest key among the sources with a
         target stands for all. Rows with a null or untargeted source and texts without tokens are left out. Languages
         are read from their leading letters, null and odd ones as ``und``. A source without texts is reported with
-        share 0. An empty table gives an empty mixture.
+        share 0; its part falls on all languages of its domain alike. An empty table gives an empty mixture.
         """
         wanted = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.collect() if r.source is not None}
         self.spark, self.targets, self.key = docs.sparkSession, wanted, key
@@ -109,7 +123,9 @@ class Mixture:
         capacity = {p: float(n * wanted[p[-1]][1]) for p, n in self.tokens.items()}
         for s in wanted:
             if s not in total:
-                weights[path(s, "und")], capacity[path(s, "und")] = wanted[s][0], 0.0
+                missing = without_texts(path(s, "und"), wanted[s][0], {p: w for p, w in weights.items() if capacity[p] > 0})
+                weights |= missing
+                capacity |= dict.fromkeys(missing, 0.0)
         self.budget = largest_true_budget(weights, capacity) if budget is None else float(budget)
         self.parts = spread(weights, capacity, self.budget)
         self.seed, self.buckets = seed, buckets

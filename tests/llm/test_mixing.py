@@ -69,3 +69,11 @@ def test_large_budget_uses_everything(spark):
 def test_empty(spark):
     made = mixture(spark, spark.createDataFrame([], SCHEMA))
     assert made.rows().collect() == [] and {r.actual_share for r in made.shares().collect()} == {0.0}
+
+
+def test_missing_source_weighs_on_all_languages_alike(spark):
+    targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
+    made = M.Mixture(docs(spark), targets, "doc_id", "text", "source", "lang", {"a": "x", "b": "x", "c": "y", "none": "x"})
+    uses = {p[1]: made.parts[p] / n for p, n in made.tokens.items() if p[-1] == "a"}
+    assert len(uses) > 2 and "und" in uses and max(uses.values()) < 1.0001 * min(uses.values())
+    assert M.without_texts(("y", "und", "none"), 0.1, {("x", "en", "a"): 0.5}) == {("y", "und", "none"): 0.1}
