@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import first_number, markdown_cell
+from loomstone.session import cut_lineage
 
 
 def union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -85,9 +86,15 @@ def report(df: DataFrame, source: str) -> DataFrame:
 
     counts = df.groupBy(F.coalesce(F.col(source), F.lit("unknown")).alias("_s")).agg(F.count("*").alias("_n"))
     head = counts.agg(F.lit(1).alias("line_no"), F.concat(F.lit("Records: "), F.coalesce(F.sum("_n"), F.lit(0)).cast("string"), F.lit("; sources: "), F.count("*").cast("string")).alias("line"))
-    top = counts.orderBy(F.desc("_n"), "_s").limit(200)
-    rank = F.row_number().over(Window.orderBy(F.desc("_n"), "_s"))  # at most 200 rows
-    return head.unionByName(top.select((rank + 1).alias("line_no"), F.concat(F.lit("- "), "_s", F.lit(": "), F.col("_n").cast("string")).alias("line")))
+    # Numbered in blocks: the place in its partition of the whole order, shifted by the sizes of those before it.
+    placed = cut_lineage(counts.orderBy(F.desc("_n"), "_s").select("_s", "_n", F.monotonically_increasing_id().alias("_at")))
+    placed = placed.withColumns({"_block": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    sizes = placed.groupBy("_block").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select("_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    number = (F.col("_before") + F.col("_row") + 2).cast("int").alias("line_no")
+    lines = placed.join(F.broadcast(starts), "_block").select(number, F.concat(F.lit("- "), "_s", F.lit(": "), F.col("_n").cast("string")).alias("line"))
+    return head.unionByName(lines)
 
 
 def sample(df: DataFrame, order: Sequence[str], rows: int = 10, clip: int = 2000) -> DataFrame:

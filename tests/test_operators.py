@@ -277,3 +277,10 @@ def test_report_sample_export(spark):
     ev = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), (None, 3, "z")], "k string, n int, v string")
     out = episodes.export(spark.createDataFrame([("a",), ("b",)], "id string"), "id", {"events": (ev, "k", ["n"])}).orderBy("id").collect()
     assert [r.body for r in out] == ['{"episode":{"id":"a"},"events":[{"n":1,"v":"x"},{"n":2,"v":"y"}]}', '{"episode":{"id":"b"},"events":[]}']
+
+
+def test_report_lists_every_source(spark):
+    df = spark.range(1000).selectExpr("concat('s', id % 450) AS s")
+    counts = sorted(((-(3 if i < 100 else 2), f"s{i}") for i in range(450)))
+    got = [(r.line_no, r.line) for r in records.report(df, "s").orderBy("line_no").collect()]
+    assert got == [(1, "Records: 1000; sources: 450"), *((k + 2, f"- {s}: {-n}") for k, (n, s) in enumerate(counts))]
