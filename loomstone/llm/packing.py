@@ -3,7 +3,8 @@
 Texts longer than a container are cut into whole containers and a rest; nothing else is cut. The rests and the other
 texts are dealt by hash into groups of about ``group`` items, whatever the size of the table, and each group is packed
 by bin completion: around the largest unpacked item the undominated fillings are enumerated, fullest first, and
-searched depth first with a bound on the waste; best-fit decreasing gives the first solution to beat.
+searched depth first with a bound on the waste; best-fit decreasing gives the first solution to beat. Items of
+different groups never meet, so every group may leave a container partly empty.
 """
 
 from __future__ import annotations
@@ -43,16 +44,17 @@ def lower_bound(sizes: Sequence[int], capacity: int) -> int:
     return max(bound, len(big))
 
 
-def fillings(counts: dict[int, int], order: list[int], room: int, steps: int, keep: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room`` from the sizes left, fullest first, at most ``keep`` of them.
+def fillings(counts: dict[int, int], order: list[int], room: int, steps: int, keep: int, exact_ends: bool = True) -> tuple[list[tuple[int, ...]], int, bool]:
+    """Undominated ways to fill ``room`` from the sizes left, fullest first, at most ``keep`` of them; the visits that
+    took; and whether ways may be missing.
 
     A way is dropped if another fits one left-out item in, or if a single larger item could take the place of one of
-    its own. The search visits sizes in descending order and stops after ``steps`` visits; it ends at once when the
-    room is filled exactly, which nothing can better.
+    its own. The search visits sizes in descending order and stops after ``steps`` visits or, if ``exact_ends``, when
+    the room is filled exactly.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     best = -1
-    visits = 0
+    visits, cut = 0, False
     stack: list[tuple[int, int, tuple[int, ...]]] = [(bisect_right(order, room) - 1, room, ())]
     while stack and visits < steps:
         at, left, chosen = stack.pop()
@@ -64,29 +66,36 @@ def fillings(counts: dict[int, int], order: list[int], room: int, steps: int, ke
             if total > best or len(found) < keep:
                 found.append((total, chosen))
                 best = max(best, total)
-            if left == 0:
+            else:
+                cut = True
+            if left == 0 and exact_ends:
                 break
             continue
         size = order[at]
         stack.append((at - 1, left, chosen))  # without it: visited after the way that takes it
         stack.append((at, left - size, (*chosen, size)))
+    cut |= bool(stack)
     ways = sorted(found, key=lambda f: (-f[0], len(f[1])))
-    kept: list[tuple[int, ...]] = []
+    kept: dict[tuple[int, ...], None] = {}  # a set in order
     for _, way in ways:
         waste = room - sum(way)
-        dominated = any(s <= waste and counts[s] > way.count(s) for s in order[: bisect_right(order, waste)])
-        if not dominated and way not in kept:
-            kept.append(way)
+        unused = lambda low, high: any(counts[s] > way.count(s) for s in order[bisect_right(order, low) : bisect_right(order, high)])  # noqa: B023, E731
+        if waste and (unused(0, waste) or any(unused(s, s + waste) for s in set(way))) or way in kept:
+            continue
         if len(kept) == keep:
+            cut = True
             break
-    return kept or [ways[0][1] if ways else ()]
+        kept[way] = None
+    return list(kept) or [ways[0][1] if ways else ()], visits, cut
 
 
 def complete(sizes: Sequence[int], capacity: int, nodes: int = 20_000, steps: int = 200, keep: int = 3) -> list[list[int]]:
     """Bin completion by branch and bound. Bins of item numbers; every item of ``sizes`` (1 .. capacity) is in one.
 
     ``nodes`` bounds the search for fewer bins than best fit gives; the best packing known by then is returned, so the
-    bound costs quality, never items. Empty input gives no bins.
+    bound costs quality, never items. It is the only bound: ``steps`` and ``keep`` limit the fillings of one bin at
+    first, and a tree cut by them is searched again with wider ones until none is cut. A filling takes one node, and
+    one more for every ``steps`` visits it took to find beyond the first. Empty input gives no bins.
     """
     incumbent = best_fit(sizes, capacity)
     least, total = lower_bound(sizes, capacity), sum(sizes)
@@ -100,6 +109,7 @@ def complete(sizes: Sequence[int], capacity: int, nodes: int = 20_000, steps: in
     chosen: list[tuple[int, ...]] = []
     options: list[list[tuple[int, ...]]] = []
     waste, best = 0, None
+    width, cut = 1, False
     allowed = (len(incumbent) - 1) * capacity - total
 
     def take(way: tuple[int, ...], sign: int) -> None:
@@ -121,8 +131,10 @@ def complete(sizes: Sequence[int], capacity: int, nodes: int = 20_000, steps: in
         if left and len(options) == len(chosen):
             top = order[-1]
             counts[top] -= 1
-            ways = fillings(counts, order, capacity - top, steps, keep)
+            ways, visits, missing = fillings(counts, order, capacity - top, steps * min(width, max(1, nodes)), keep * width, width == 1)
             counts[top] += 1
+            nodes -= (visits - 1) // steps
+            cut |= missing
             options.append([(top, *w) for w in reversed(ways)])
         if not left:
             best = list(chosen)
@@ -137,7 +149,10 @@ def complete(sizes: Sequence[int], capacity: int, nodes: int = 20_000, steps: in
                 break
             undo()
         if not options:
-            break
+            if not cut:
+                break
+            width, cut = 8 * width, False  # all is unpacked again
+            continue
         way = options[-1].pop()
         nodes -= 1
         if waste + capacity - sum(way) > allowed:

@@ -32,6 +32,22 @@ def test_optimal_on_small_groups(capacity, sizes):
     assert len(packed) == optimum(sizes, capacity)
 
 
+def test_only_nodes_bound_the_search():
+    for capacity, sizes, bins in (
+        (48, [10, 13, 16, 8, 27, 23, 24, 24, 17, 11, 19], 4),
+        (107, [22, 21, 64, 28, 18, 21, 57, 52, 20, 15], 3),
+        (93, [54, 32, 23, 33, 44, 11, 50, 49, 28, 15, 31], 4),
+        (55, [29, 11, 27, 31, 18, 7, 18, 17, 27, 20, 12], 4),
+    ):
+        assert len(P.complete(sizes, capacity)) == len(P.complete(sizes, capacity, steps=3, keep=1)) == optimum(sizes, capacity) == bins
+        assert len(P.complete(sizes, capacity, nodes=0)) == len(P.best_fit(sizes, capacity))
+
+
+def test_single_larger_item_replaces():
+    ways, _, cut = P.fillings({6: 1, 5: 1, 3: 1, 2: 1}, [2, 3, 5, 6], 9, 10_000, 100, False)
+    assert ways == [(6, 3)] and not cut  # in (6, 2) the 3 could stand for the 2, in (5, 3) the 6 for the 5
+
+
 def test_never_worse_than_best_fit():
     rng = random.Random(5)
     for capacity in (128, 1000):
