@@ -1,13 +1,18 @@
 """Listings of different sellers that offer the same product.
 
-Titles and sku names are reduced to normalised tokens: brand, model, series, size, colour and number of pieces, with
-marketing words left out. The identity sets (brand, model, series) go through a weighted set-similarity join: document
-frequencies are counted, rare tokens come first and weigh more, a set looks only for the tokens of its prefix, sets
-too light or met too late are passed over (length and positional filter), and every candidate is verified by exact
-weighted containment. Stars around the fullest sets then tie a listing that names only the series to one that names
-only the model. A class is one product in one size, colour and number of pieces: those must be equal, so they are a
-key of the class and no tokens that similar others could outweigh. Other words of a title enter no set, since
-wording must not part two listings.
+Titles and sku names are reduced to normalised tokens. Size, colour and number of pieces have to be equal, whatever the
+wording, so they are read by tables of units and colours and become a key of the class. All other words of a title are
+tokens, codes of letters and digits in one spelling, and what each is worth is counted over the whole column:
+
+* *information*: how much likelier two listings that share the token also share their code (``WH-1000XM5``) than any
+  two listings, as a logarithm. Advertising comes out near nothing, a brand near the logarithm of the number of brands.
+* *steadiness*: how often the token of one listing stands in another listing of the same code too. Words that sellers
+  choose freely among several come out low.
+
+The weight of a token is the product of the two. The distinct token sets go through a weighted set-similarity join:
+tokens ordered by rarity, prefix, length and positional filters, exact weighted containment. Stars follow: a set that no
+fuller one contains is a centre, any other joins the centre that contains it. No list of brands, goods or advertising
+words is used.
 
 Only distinct sets enter the join, so copies, however many, weigh nothing. Pairs of a class are written only where
 the result is defined as pairs; classes that are hot are salted.
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import lookalikes, residue
@@ -64,131 +69,122 @@ UNITS = {
     "w": ("w", "1"), "瓦": ("w", "1"), "kw": ("w", "1000"), "千瓦": ("w", "1000"),
     "mah": ("mah", "1"), "毫安": ("mah", "1"), "毫安时": ("mah", "1"), "ah": ("mah", "1000"), "安时": ("mah", "1000"), "万毫安": ("mah", "10000"), "万毫安时": ("mah", "10000"),
     "mb": ("mb", "1"), "gb": ("mb", "1024"), "tb": ("mb", "1048576"),
+    "英寸": ("inch", "1"), "寸": ("inch", "1"), "inch": ("inch", "1"), "码": ("eu", "1"),
 }
-# Words that name no product of their own.
-MARKETING = "耐用 特价 清仓 家用 限量 包邮 新款 爆款 热卖 正品 促销 推荐 高颜值 大容量 抖音同款 网红推荐 新品上市 正品保障 学生宿舍 顺丰速发 送运费险 无理由退换 厂家直销 送礼佳品 限时特惠 旗舰品质 热卖爆款 官方直发 领券立减 今日秒杀 买一送一 2025新款 ins风"
-GOODS = "洗发水 洗发露 电磁炉 电磁灶 香薰蜡烛 香氛蜡烛 电热水壶 烧水壶 电水壶 保温杯 保温水杯 真空保温杯 洗衣液 衣物清洁液 遮光窗帘 窗帘 跳绳 健身跳绳 毛巾 洗脸巾 大米 东北香米 混合坚果 坚果礼盒 闪存盘 u盘 优盘 充电宝 移动电源 电吹风 吹风机 收纳箱 整理箱 瑜伽垫 健身垫 台灯 护眼灯 猫粮 全价猫粮 挂耳咖啡 滤挂咖啡 数据线 充电线"
-ACCESSORY = "兼容 适配 适用 适用于 通用 for compatible 配件 保护套 保护壳 清洁刷 替换盖 替换装 支架 滤芯 收纳袋 贴膜"
-SUFFIX = "Pro|Max|Lite|Plus|Mini|Ultra|Air|SE"
-STORAGE = "闪存盘|u盘|优盘|硬盘|存储卡|内存卡"
+# Words that relate an accessory to a product.
+RELATION = frozenset("兼容 适配 适用 适用于 通用 配件 for fits compatible accessory".split())
+# Endings that make another product of a series or model.
+SUFFIX = frozenset("pro max lite plus mini ultra".split())
+# First halves of two-word colours.
+SHADES = frozenset("sky dark light wine rose off creamy ivory navy army".split())
 DIGITS = {c: i for i, c in enumerate("零一二三四五六七八九十")} | {"单": 1, "两": 2, "双": 2}
 
 _UNIT = "|".join(sorted(UNITS, key=len, reverse=True))
-_SIZE = re.compile(rf"(?<![A-Za-z0-9.])(\d+(?:\.\d+)?) ?({_UNIT})(?![A-Za-z])", re.I)
+_SIZE = re.compile(rf"(?<![A-Za-z0-9.])(\d+(?:\.\d+)?) ?(?:({_UNIT})(?![A-Za-z]))", re.I)
 _PIECES = re.compile(r"(?<![A-Za-z0-9.])(?:[x*×] ?(\d{1,4})(?![\d.]|\s?[A-Za-z%])|(\d{1,4}|[单两双一二三四五六七八九十]{1,3}) ?(?:件套|件组合|件装|个装|只装|条装|包装|瓶装|盒装|支装|片装|套装|pcs|pieces|pack|件|只|个)(?![A-Za-z]))", re.I)
-_MODEL = re.compile(rf"(?<![A-Za-z0-9])(?!(?:{SUFFIX}) ?-?\d)([A-Za-z]{{2,5}})[- ]?(\d{{3,5}})(?![\d.A-Za-z]|新款| ?(?:{_UNIT})(?![A-Za-z]))", re.I)
-_ALIAS = re.compile(r"([一-鿿]{2,4})/([A-ZÀ-Ý]{3,})(?= |$)|(?<![^\s])([A-ZÀ-Ý]{3,})\(([一-鿿]{2,4})\)")
-_LATIN_BRAND = re.compile(r"(?<![^\s])([A-ZÀ-Ý]{5,})(?= |$)")
-_SERIES = re.compile(rf"(?<![^\s])([一-鿿]{{2}}) ?({SUFFIX})?(?= |$)", re.I)
-_SPLIT = re.compile(r"[\s;,/+，；、|]+")
-
-
-def _tables() -> tuple[dict[str, str], frozenset, frozenset]:
-    colours = {w: g.split()[0] for g in COLOURS for w in g.split()}
-    common = frozenset(MARKETING.split()) | frozenset(GOODS.split())
-    return colours, common, frozenset(ACCESSORY.split())
+#: A word of letters and a number beside it, one code in any of its spellings.
+_CODE_PARTS = re.compile(rf"(?<![a-z0-9])(?!(?:{'|'.join(sorted(SUFFIX))})[- ]?\d)([a-z]{{2,}})[- ](\d+[a-z0-9]*)(?![\d.\-a-z一-鿿])")
+_CODE = re.compile(r"(?=.*[a-z])(?=.*\d)[a-z\d.\-]+")
+#: Two spellings of a name side by side, one in Han characters and one in Latin letters.
+_ALIAS = re.compile(r"(?<![一-鿿])([一-鿿]{2,6})[/(]([A-Za-zÀ-ɏ]{2,})(?![A-Za-zÀ-ɏ])\)?|(?<![A-Za-zÀ-ɏ])([A-Za-zÀ-ɏ]{2,})[/(]([一-鿿]{2,6})(?![一-鿿])\)?")
+_SIGNS = str.maketrans(dict.fromkeys("【】[]{}()（）「」《》<>,;，；、|/+*#!?！？:：\"'~·•_=&@", " "))
+_HAN_OR_DIGIT = re.compile(r"[一-鿿\d]")
 
 
 class Reader:
-    """Titles and sku names to normalised tokens, remembering what was read before."""
+    """Titles and sku names to normalised tokens, remembering the parts of sku names."""
 
     def __init__(self) -> None:
-        self.colours, self.common, self.accessory = _tables()
-        self.two_words = re.compile(r"\b(sky|dark|light|wine|rose|off|creamy|ivory|navy|army) (blue|gr[ea]y|red|white|green)\b", re.I)
-        self.titles: dict[str, tuple] = {}
-        self.skus: dict[str, tuple] = {}
-
-    def specs(self, text: str, storage: bool) -> tuple[str, str, str]:
-        """Size, colour and pieces; empty where the text names none."""
-        size = ""
+        self.colours = {w: g.split()[0] for g in COLOURS for w in g.split()}
+        self.skus: dict[str, tuple[str, str, str]] = {}
+
+    def measures(self, text: str) -> tuple[str, str, str]:
+        """Sizes and pieces, empty where the text names none, and the text without them."""
+        sizes, pieces = [], ""
         for m in _SIZE.finditer(text):
-            unit = m[2]
-            kind, factor = UNITS["gb" if storage and unit in ("G", "g") else unit.lower()]
-            value = Decimal(m[1]) * Decimal(factor)
-            size = f"{kind}:{value.normalize():f}"
-            break
-        else:
-            if storage and (m := re.search(r"(?<![A-Za-z0-9.])(\d+)G(?![A-Za-z])", text)):
-                size = f"mb:{int(m[1]) * 1024}"
-        colour = ""
-        joined = self.two_words.sub(r"\1_\2", text.replace("颜色:", " ").replace("颜色：", " "))
-        for token in _SPLIT.split(joined):
-            if found := self.colours.get(token.lower()):
-                colour = found
-                break
-        pieces = ""
+            number, unit = m[1], m[2].lower()
+            if m[2] == "G" and number.isdigit() and int(number) >= 8 and int(number).bit_count() == 1:
+                unit = "gb"  # capacities of memories are powers of two
+            kind, factor = UNITS[unit]
+            sizes.append(f"{kind}:{(Decimal(number) * Decimal(factor)).normalize():f}")
+        if sizes:
+            text = _SIZE.sub(" ", text)
         if m := _PIECES.search(text):
             raw = m[1] or m[2]
             number = int(raw) if raw.isdigit() else (DIGITS.get(raw) if len(raw) == 1 else DIGITS.get(raw[-1], 0) + 10 if raw[0] == "十" else None)
             pieces = str(number) if number else ""
-        return size, colour, pieces
-
-    def title(self, text: str) -> tuple:
-        """``(brand name, brand in Latin, model, series, size, colour, pieces, storage)``, or empty for accessories."""
-        known = self.titles.get(text)
+            text = text[: m.start()] + " " + text[m.end() :]
+        return "+".join(sorted(set(sizes))), pieces, text
+
+    def words(self, text: str) -> tuple[list[str], str]:
+        """The words of a lower-case text without those of colour, and the first colour."""
+        words, colour, found = [], "", text.translate(_SIGNS).split()
+        skip = False
+        for i, word in enumerate(found):
+            if skip:
+                skip = False
+                continue
+            if word in SHADES and i + 1 < len(found) and (shade := self.colours.get(f"{word}_{found[i + 1]}")):
+                colour, skip = colour or shade, True
+            elif plain := self.colours.get(word):
+                colour = colour or plain
+            elif word in SUFFIX and words and _HAN_OR_DIGIT.search(words[-1]):
+                words[-1] += word
+            else:
+                words.append(word)
+        return words, colour
+
+    def sku(self, text: str) -> tuple[str, str, str]:
+        """Size, colour and pieces named in a sku."""
+        known = self.skus.get(text)
         if known is None:
-            known = self.titles[text] = self._title(text)
-            if len(self.titles) > 20_000:
-                self.titles.clear()
+            if len(self.skus) > 20_000:
+                self.skus.clear()
+            size, pieces, rest = self.measures(text)
+            known = self.skus[text] = (size, self.words(rest.lower())[1], pieces)
         return known
 
-    def _title(self, text: str) -> tuple:
-        plain = re.sub(r"【[^】]*】|\[[^\]]*\]", " ", text).strip()
-        tokens = plain.split()
-        lower = [t.lower() for t in tokens]
-        if any(t in self.accessory for t in lower):
-            return ()
-        storage = any(re.fullmatch(STORAGE, t) for t in lower)
-        name = latin = ""
-        if m := _ALIAS.search(plain):
-            name, latin = (m[1], m[2]) if m[1] else (m[4], m[3])
-        elif m := _LATIN_BRAND.search(plain):
-            latin = m[1]
-        free = [t for t in tokens if re.fullmatch(r"[一-鿿]{2,4}", t) and t not in self.common and t not in self.colours]
-        if not latin:
-            name = next((t for t in free if len(t) >= 3 and not _PIECES.fullmatch(t)), "")
-        model = ""
-        if m := _MODEL.search(plain):
-            model = (m[1] + m[2]).lower()
-        series = ""
-        for m in _SERIES.finditer(plain):
-            if m[1] in self.common or m[1] in self.colours or m[1] == name or _PIECES.fullmatch(m[1]):
-                continue
-            series = m[1] + (m[2] or "").lower()
-            if m[2]:
-                break
-        return (name, latin, model, series, *self.specs(plain, storage), storage)
-
     def row(self, title: str | None, sku: str | None) -> tuple | None:
-        """``(name, latin, model, series, size, colour, pieces)`` or null where the row names no product."""
-        parsed = self.title(title) if title else ()
-        if not parsed or not (parsed[0] or parsed[1]) or not (parsed[2] or parsed[3]):
+        """``(tokens, code, Han name, Latin name, specs)``, null for accessories and titles without words."""
+        if not title:
+            return None
+        size, pieces, rest = self.measures(title)
+        han = latin = None
+        if ("/" in rest or "(" in rest) and (m := _ALIAS.search(rest)):
+            han, latin = (m[1], m[2].lower()) if m[1] else (m[4], m[3].lower())
+            rest = f"{rest[: m.start()]} {latin} {rest[m.end() :]}"
+        words, colour = self.words(_CODE_PARTS.sub(r"\1\2", rest.lower()))
+        tokens, code = {}, ""
+        for word in words:
+            if word in RELATION:
+                return None
+            if not word.isalnum():
+                if _CODE.fullmatch(word):
+                    word = word.replace("-", "")
+                elif not (word := word.strip("-.—–")):
+                    continue
+            tokens[word] = None
+            if len(word) > len(code) and word.isascii() and _CODE.fullmatch(word):
+                code = word
+        if not tokens:
             return None
-        name, latin, model, series, size, colour, pieces, storage = parsed
         if sku:
-            known = self.skus.get((sku, storage))
-            if known is None:
-                if len(self.skus) > 20_000:
-                    self.skus.clear()
-                known = self.skus[(sku, storage)] = self.specs(sku, storage)
+            known = self.sku(sku)
             size, colour, pieces = known[0] or size, known[1] or colour, known[2] or pieces
-        if not size:
-            return None  # nothing shows that it is the same size as another
-        return name, latin, model, series, size, colour, pieces or "1"
+        return list(tokens), code or None, han, latin, "\x1f".join((size, colour, pieces or "1"))
 
 
 def offers(df: DataFrame, key: str, title: str, sku: str, seller: str, arrived: str) -> DataFrame:
-    """``key``, ``seller`` and the tokens of each row that offers a product.
+    """``_key``, ``_seller``, ``tokens``, ``code``, ``han``, ``latin`` and ``specs`` of each row that may offer a product.
 
-    Left out are rows with a null seller, titles with template residue, accessories, rows that name neither model nor
-    series or no size, and, of rows equal in all columns but ``key`` and ``arrived``, all but the lowest ``key``.
+    Left out are rows with a null seller, blank titles and titles with template residue, accessories and, of rows equal
+    in all columns but ``key`` and ``arrived``, all but the lowest ``key``.
     """
     rest = [c for c in df.columns if c not in (key, arrived)]
     same = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(rest)])))
     rows = df.where(F.col(seller).isNotNull()).select(F.col(key).alias("_key"), F.col(seller).alias("_seller"), F.col(title).alias("_title"), F.col(sku).alias("_sku"), F.unhex(same).alias("_same"))
     wide = lookalikes.canonical(rows, ["_key", "_seller", "_same"], ["_title", "_sku"])
-    t = F.col("_title_canonical")
-    wide = wide.where(t.isNotNull() & ~residue.has_placeholder(t))
+    wide = wide.where(F.col("_title_canonical") != "")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader()
@@ -197,96 +193,141 @@ def offers(df: DataFrame, key: str, title: str, sku: str, seller: str, arrived:
             keep = [i for i, x in enumerate(found) if x]
             if not keep:
                 continue
-            out = batch.iloc[keep][["_key", "_seller", "_same"]].reset_index(drop=True)
-            made = pd.DataFrame([found[i] for i in keep], columns=["name", "latin", "model", "series", "size", "colour", "pieces"])
+            out = batch.iloc[keep][["_key", "_seller", "_same", "_title_canonical"]].reset_index(drop=True)
+            made = pd.DataFrame([found[i] for i in keep], columns=["tokens", "code", "han", "latin", "specs"])
             yield pd.concat([out, made], axis=1)
 
     kind = dict(df.dtypes)[key]
-    schema = f"_key {kind}, _seller string, _same binary, name string, latin string, model string, series string, size string, colour string, pieces string"
+    schema = f"_key {kind}, _seller string, _same binary, _title_canonical string, tokens array<string>, code string, han string, latin string, specs string"
     read_rows = wide.mapInPandas(read, schema)
-    columns = ["_seller", "name", "latin", "model", "series", "size", "colour", "pieces"]
-    unique = read_rows.groupBy("_same").agg(F.min("_key").alias("_key"), *[F.first(c).alias(c) for c in columns])
-    return unique.drop("_same")
+    read_rows = read_rows.where(residue.residue_kind(F.col("_title_canonical")).isNull()).drop("_title_canonical")
+    columns = ["_seller", "tokens", "code", "han", "latin", "specs"]
+    return read_rows.groupBy("_same").agg(F.min("_key").alias("_key"), *[F.first(c).alias(c) for c in columns]).drop("_same")
 
 
-def brands(rows: DataFrame) -> DataFrame:
-    """The Latin spelling most often written beside each brand name: ``name``, ``_latin``."""
-    beside = rows.where("name <> '' and latin <> ''").groupBy("name", "latin").count()
-    return beside.groupBy("name").agg(F.max_by("latin", F.struct("count", "latin")).alias("_latin"))
+def spellings(rows: DataFrame) -> DataFrame:
+    """``han`` and ``_latin``, the Latin spelling most often written beside each Han name."""
+    beside = rows.where("han is not null").groupBy("han", "latin").count()
+    return beside.groupBy("han").agg(F.max_by("latin", F.struct("count", "latin")).alias("_latin"))
 
 
-def ordered_sets(sets: DataFrame) -> DataFrame:
-    """Each of ``sets`` (``brand``, ``model``, ``series``, ``n`` listings) with its tokens, the rarest first.
+def lists(rows: DataFrame) -> DataFrame:
+    """The distinct token lists of ``rows``: ``list_id``, ``tokens``, ``code``. A title that stands over several skus
+    counts once."""
+    return rows.groupBy(F.xxhash64("tokens").alias("list_id")).agg(F.first("tokens").alias("tokens"), F.first("code").alias("code"))
 
-    ``_set`` holds ``df`` (listings that hold the token, counted), ``token``, ``w`` (its weight, in thousandths of
-    ``ln(1 + listings / df)``, whole so that sums are exact), ``before`` and ``after`` (weight of the tokens around
-    it); ``_w`` is the weight of the set.
+
+def weights(lists: DataFrame, names: DataFrame, prior: float = 8.0) -> DataFrame:
+    """What each token of ``lists`` (``tokens``, ``code``) is worth, counted over all of them.
+
+    Gives ``token``, ``plain`` (its spelling in the sets), ``df`` (lists that hold it), ``info`` (nats), ``w``
+    (information times steadiness in thousandths, whole so that sums are exact), ``is_name`` (one of ``names``) and
+    ``needed``, the information that singles out one product. Where no two lists share a code, information is
+    ``ln(lists / df)``. Information starts from two pairs of lists, steadiness
+    from ``prior``, of which half agree. Han names of ``names`` come as tokens with the values of their Latin spelling.
     """
-    kinds = ["brand", "model", "series"]
-    tokens = F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat_ws("\x1f", F.lit(c), c)) for c in kinds]))
-    flat = sets.select(*kinds, "n", F.explode(tokens).alias("token"))
-    listings = F.broadcast(sets.agg(F.sum("n").alias("_all")))  # one row
-    counted = flat.groupBy("token").agg(F.sum("n").alias("df")).crossJoin(listings)
-    counted = counted.select("token", "df", F.round(1000 * F.log1p(F.col("_all") / F.col("df"))).cast("long").alias("w"))
-    one = flat.join(counted, "token").groupBy(*kinds).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token", "w"))).alias("_set"))
-    weight = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda sum_, t: sum_ + t["w"])
-    one = one.withColumn("_w", weight(F.col("_set")))
-    placed = F.transform("_set", lambda t, i: F.struct(t["df"].alias("df"), t["token"].alias("token"), t["w"].alias("w"), weight(F.slice("_set", F.lit(1), i)).alias("before")))
-    return one.withColumn("_set", F.transform(placed, lambda t: t.withField("after", F.col("_w") - t["before"] - t["w"])))
-
-
-def contained(parts: DataFrame, containers: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a set of ``parts`` and a set of ``containers`` that holds at least ``threshold`` of its weight.
-
-    Both come from one :func:`ordered_sets`; columns are those of the two with ``a_`` and ``b_`` before them. A pair
-    is met once, at the rarest token its sets share.
+    flat = lists.select("code", F.explode("tokens").alias("token")).join(names, F.col("token") == F.col("han"), "left")
+    counts = flat.groupBy(F.coalesce("_latin", "token").alias("token"), "code").agg(F.count("*").alias("n"))
+    sizes = counts.where(F.col("token") == F.col("code")).select("code", F.col("n").alias("_size"))
+    n, size = F.col("n"), F.col("_size")
+    each = counts.join(sizes, "code", "left").groupBy("token").agg(
+        F.sum("n").alias("df"), F.sum(F.when(size.isNotNull(), n)).alias("_coded"), F.sum(F.when(size.isNotNull(), n * (n - 1))).alias("_same"), F.sum(n * (size - 1)).alias("_possible"),
+        F.max(F.col("token") == F.col("code")).alias("_is_code"),
+    )
+    whole = lists.agg(F.count("*").alias("_all"), F.count("code").alias("_all_coded")).crossJoin(sizes.agg(F.sum(size * (size - 1)).alias("_all_same")))
+    each = each.crossJoin(F.broadcast(whole))  # one row
+    coded, same = F.coalesce("_coded", F.lit(0)), F.coalesce("_same", F.lit(0))
+    rarity = F.log(F.col("_all") / F.col("df"))
+    chance = F.col("_all_same") / (F.col("_all_coded") * (F.col("_all_coded") - 1))
+    known = F.col("_all_same") > 0
+    shared = F.when(F.coalesce("_is_code", F.lit(False)), 1.0).otherwise((same + 1) / (coded * (coded - 1) + 2))
+    info = F.when(known, F.least(rarity, F.log(shared / chance))).otherwise(rarity)
+    steady = F.when(F.coalesce("_is_code", F.lit(False)), 1.0).otherwise((same + prior / 2) / (F.coalesce("_possible", F.lit(0)) + prior))
+    made = each.select("token", "df", F.greatest(F.lit(0.0), info).alias("info"), steady.alias("_steady"), F.when(known, -F.log(chance)).otherwise(F.log("_all")).alias("needed"))
+    made = made.select("token", "df", "info", F.round(1000 * F.col("info") * F.col("_steady")).cast("long").alias("w"), "needed")
+    latin = names.groupBy(F.col("_latin").alias("token")).agg(F.collect_list("han").alias("_han"))  # the few spellings of one name
+    values = ["df", "info", "w", F.col("_han").isNotNull().alias("is_name"), "needed"]
+    spelled = made.join(latin, "token", "left").select(F.explode(F.concat(F.array("token"), F.coalesce("_han", F.array().cast("array<string>")))).alias("spelled"), F.col("token").alias("plain"), *values)
+    return spelled.withColumnRenamed("spelled", "token")
+
+
+def _weight(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0).cast("long"), lambda sum_, t: sum_ + t["w"])
+
+
+def token_sets(lists: DataFrame, worth: DataFrame, least: int = 300) -> DataFrame:
+    """``list_id``, ``set_id`` and ``_set`` of the lists whose tokens single out a product.
+
+    ``_set`` holds ``df``, ``token``, ``w`` and ``is_name`` of the tokens worth at least ``least``, the rarest first.
+    """
+    flat = lists.select("list_id", F.explode("tokens").alias("token")).join(worth.where(F.col("w") >= least), "token")
+    tokens = F.sort_array(F.collect_set(F.struct("df", F.col("plain").alias("token"), "w", "is_name", "info")))
+    sets = flat.groupBy("list_id").agg(tokens.alias("_set"), F.first("needed").alias("needed"))
+    sets = sets.where(F.aggregate("_set", F.lit(0.0), lambda sum_, t: sum_ + t["info"]) >= F.col("needed"))
+    return sets.select("list_id", F.xxhash64(F.col("_set")["token"]).alias("set_id"), F.transform("_set", lambda t: t.dropFields("info")).alias("_set"))
+
+
+def placed(sets: DataFrame) -> DataFrame:
+    """``sets`` with ``_w``, the weight of each set, and the weight ``before`` and ``after`` each of its tokens."""
+    sets = sets.withColumn("_w", _weight(F.col("_set")))
+    before = F.transform("_set", lambda t, i: t.withField("before", _weight(F.slice("_set", F.lit(1), i))))
+    return sets.withColumn("_set", F.transform(before, lambda t: t.withField("after", F.col("_w") - t["before"] - t["w"])))
+
+
+def contained(sets: DataFrame, threshold: float) -> DataFrame:
+    """``a_id``, ``b_id``, ``a_n``, ``b_n`` and ``held``: each set and every fuller one that holds at least ``threshold``
+    of its weight and all of its names.
+
+    ``sets`` holds ``set_id``, ``n`` and the columns of :func:`placed`. Fuller is heavier, of equal weight the greater
+    id. A pair is met once, at the rarest token its sets share.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must lie in (0, 1]")
-    a, b = (d.select(*[F.col(c).alias(f"{p}{c}") for c in d.columns]) for d, p in ((parts, "a_"), (containers, "b_")))
-    least = F.broadcast(parts.agg(F.min("_w").alias("_least")))  # one row
+    a, b = (sets.select(F.col("set_id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.col("_w").alias(f"{p}_w"), F.col("_set").alias(f"{p}_set")) for p in "ab")
+    least = F.broadcast(sets.agg(F.min("_w").alias("_least")))  # one row
+    part = lambda p: F.inline(F.transform(f"{p}_set", lambda t: F.struct(t["token"].alias("token"), t["w"].alias(f"_w{p}"), t["before"].alias(f"_before{p}"), t["after"].alias(f"_after{p}"))))
     # Prefix: the rarest shared token is one from which on there is weight enough.
-    left = a.select("*", F.inline("a__set").alias("_df", "token", "_wt", "_before", "_after_a")).where(F.col("a__w") - F.col("_before") >= threshold * F.col("a__w")).drop("_df", "_before")
-    right = b.crossJoin(least).select("*", F.inline("b__set").alias("_df", "token", "_wt_b", "_before", "_after_b"))
-    right = right.where(F.col("b__w") - F.col("_before") >= threshold * F.col("_least")).drop("_df", "_wt_b", "_before", "_least")
-    enough = threshold * F.col("a__w")
-    met = left.join(right, "token").where(F.col("b__w") >= enough).where(F.col("_wt") + F.least("_after_a", "_after_b") >= enough)  # length, position
-    common = F.filter("a__set", lambda t: F.array_contains(F.col("b__set")["token"], t["token"]))
-    met = met.where(F.aggregate(common, F.lit(0).cast("long"), lambda sum_, t: sum_ + t["w"]) >= enough)
-    return met.where(common[0]["token"] == F.col("token")).drop("token", "_wt", "_after_a", "_after_b")
+    left = a.select("*", part("a")).where(F.col("a_w") - F.col("_beforea") >= threshold * F.col("a_w")).drop("_beforea")
+    right = b.crossJoin(least).select("*", part("b")).where(F.col("b_w") - F.col("_beforeb") >= threshold * F.col("_least")).drop("_wb", "_beforeb", "_least")
+    enough = threshold * F.col("a_w")
+    fuller = (F.col("b_w") > F.col("a_w")) | ((F.col("b_w") == F.col("a_w")) & (F.col("b_id") > F.col("a_id")))  # length
+    met = left.join(right, "token").where(fuller & (F.col("_wa") + F.least("_aftera", "_afterb") >= enough))  # position
+    common = F.filter("a_set", lambda t: F.array_contains(F.col("b_set")["token"], t["token"]))
+    met = met.withColumn("_common", common).where((_weight(F.col("_common")) >= enough) & (F.col("_common")[0]["token"] == F.col("token")))
+    met = met.where(F.size(F.filter("a_set", lambda t: t["is_name"])) == F.size(F.filter("_common", lambda t: t["is_name"])))
+    return met.select("a_id", "b_id", "a_n", "b_n", (_weight(F.col("_common")) / F.col("a_w")).alias("held"))
+
+
+def stars(sets: DataFrame, links: DataFrame, lead: float = 0.8) -> DataFrame:
+    """``set_id`` and ``product``, the centre it belongs to.
+
+    ``links`` are those of :func:`contained`. Sets without a fuller one are centres. A set joins the centre that holds
+    it, where several do the one with at least ``lead`` of their listings; sets that fit several centres alike (a
+    series of several models) form stars of their own.
+    """
+    centres = sets.join(links, F.col("set_id") == F.col("a_id"), "left_anti").select("set_id")
+    votes = links.join(centres, F.col("b_id") == F.col("set_id"), "left_semi")
+    best = votes.groupBy("a_id").agg(F.max_by("b_id", F.struct("b_n", "held", "b_id")).alias("b_id"), F.max("b_n").alias("_top"), F.sum("b_n").alias("_all"))
+    joined = best.where(F.col("_top") >= lead * F.col("_all")).select(F.col("a_id").alias("set_id"), F.col("b_id").alias("product"))
+    rest = sets.select("set_id").join(centres.unionByName(joined.select("set_id")), "set_id", "left_anti")
+    among = links.join(rest, F.col("a_id") == F.col("set_id"), "left_semi").join(rest, F.col("b_id") == F.col("set_id"), "left_semi")
+    own = among.groupBy("a_id").agg(F.max_by("b_id", F.struct("held", "b_n", "b_id")).alias("_own"))
+    alone = rest.join(own, F.col("set_id") == F.col("a_id"), "left").select("set_id", F.coalesce("_own", "set_id").alias("product"))
+    return centres.select("set_id", F.col("set_id").alias("product")).unionByName(joined).unionByName(alone)
 
 
-def identities(rows: DataFrame, threshold: float = 1.0) -> DataFrame:
-    """``brand``, ``model``, ``series`` of each distinct identity set and the ``product`` it belongs to.
+def classes(df: DataFrame, key: str, title: str, sku: str, seller: str, arrived: str, threshold: float = 0.75) -> DataFrame:
+    """``_key``, ``_seller`` and ``class_id`` (product, size, colour and pieces) of every row that offers a product.
 
-    ``rows`` holds ``brand``, ``model``, ``series`` (``''`` where missing). A set that lacks its model or its series
-    is joined to the full sets that contain it with at least ``threshold`` of its weight; 1 asks for all of it.
+    Rows that name no size, colour or pieces form classes with others that name none; no number of pieces means one.
     """
-    sets = rows.groupBy("brand", "model", "series").agg(F.count("*").alias("n"))
-    sets = cut_lineage(ordered_sets(cut_lineage(sets)))
-    full = sets.where("model <> '' and series <> ''")
-    part = sets.where("model = '' or series = ''")
-    own = F.when(F.col("model") != "", F.concat_ws("\x1f", "brand", "model")).otherwise(F.concat_ws("\x1f", "brand", F.lit(""), "series"))
-    joined = contained(part.select("brand", "model", "series", "_set", "_w"), full.select(own.alias("centre"), "n", "_set", "_w"), threshold)
-    joined = joined.select(F.col("a_brand").alias("brand"), F.col("a_model").alias("model"), F.col("a_series").alias("series"), F.col("b_centre").alias("centre"), F.col("b_n").alias("weight"))
-    votes = joined.groupBy("brand", "model", "series", "centre").agg(F.sum("weight").alias("votes"))
-    best = votes.groupBy("brand", "model", "series").agg(F.max_by("centre", F.struct("votes", "centre")).alias("centre"), F.max("votes").alias("top"), F.sum("votes").alias("all"))
-    # A series that several models share is no identity of its own: it stays alone unless one model clearly leads.
-    stars = best.where("top >= 0.8 * all").select("brand", "model", "series", F.col("centre").alias("product"))
-    alone = part.join(stars, ["brand", "model", "series"], "left_anti").select("brand", "model", "series", own.alias("product"))
-    centres = full.select("brand", "model", "series", own.alias("product"))
-    return centres.unionByName(stars).unionByName(alone)
-
-
-def classes(df: DataFrame, key: str, title: str, sku: str, seller: str, arrived: str) -> DataFrame:
-    """``_key``, ``_seller`` and ``class_id`` (product, size, colour and pieces) of every row that offers a product."""
     read = cut_lineage(offers(df, key, title, sku, seller, arrived))
-    known = brands(read)
-    rows = read.join(known, "name", "left").withColumn("brand", F.coalesce(F.expr("nullif(latin, '')"), "_latin", "name"))
-    rows = rows.select("_key", "_seller", "brand", "model", "series", F.concat_ws("\x1f", "size", "colour", "pieces").alias("specs"))
-    product = identities(rows)
-    found = rows.join(product, ["brand", "model", "series"])
-    return cut_lineage(found.select("_key", "_seller", F.unhex(F.md5(F.concat_ws("\x1e", "product", "specs"))).alias("class_id")))
+    distinct = cut_lineage(lists(read))
+    members = cut_lineage(token_sets(distinct, weights(distinct, spellings(read))))
+    sets = cut_lineage(placed(members.groupBy("set_id").agg(F.first("_set").alias("_set"), F.count("*").alias("n"))))
+    product = members.select("list_id", "set_id").join(stars(sets, cut_lineage(contained(sets, threshold))), "set_id")
+    found = read.select("_key", "_seller", "specs", F.xxhash64("tokens").alias("list_id")).join(product, "list_id")
+    return cut_lineage(found.select("_key", "_seller", F.unhex(F.md5(F.concat_ws("\x1e", F.col("product").cast("string"), "specs"))).alias("class_id")))
 
 
 def pairs(members: DataFrame, hot: int = 1000) -> DataFrame:
