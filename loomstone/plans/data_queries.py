@@ -17,6 +17,11 @@ def _time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(shop.union(runs).union(events))
 
 
+def p1_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone of each host as its own readings show it, beside the declared one."""
+    return timestamps.zone_report(_time_texts(spark, sf_dir), "text", "crawl_host", table(spark, sf_dir, "crawl_hosts"), "tbl", "row_key", "received_us")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time texts that denote one instant and are not yet in canonical form, with that instant."""
     rows = timestamps.normalise(_time_texts(spark, sf_dir), "text", "crawl_host", table(spark, sf_dir, "crawl_hosts"), "tbl", "row_key", "received_us")
@@ -39,7 +44,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_changes(spark, sf_dir).select("snapshot_no", "itemid", "skuid", "change_kind")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p6_changes": p6_changes}
+QUERIES = {"p1_found": p1_found, "p1_zones": p1_zones, "p4_found": p4_found, "p6_found": p6_found, "p6_changes": p6_changes}
 
 _NUMBER = """CASE WHEN b IN ('售罄','已售完','已售罄','售完','无货','缺货','soldout','outofstock') THEN 0
   ELSE TRY_CAST(replace(regexp_extract(b, '^[^0-9.-]*(-?[0-9][0-9,]*(\\.[0-9]+)?|-?\\.[0-9]+)[^0-9]*$', 1), ',', '') AS DECIMAL(30,6))

@@ -23,6 +23,7 @@ def get_spark(app: str = "loomstone", cpus: int | None = None, **conf: str) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # a call to the JVM for every column function
     }
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)

@@ -80,22 +80,51 @@ def test_to_utc_like_zoneinfo(spark):
 
 
 @pytest.mark.parametrize("by", ["ingestion", "arrival"])
-def test_unknown_zone_is_estimated(spark, by):
-    tz, rows = ZoneInfo("America/New_York"), []
-    for i in range(600):
-        at = datetime(2025, 2, 1, tzinfo=timezone.utc) + timedelta(hours=12 * i)
-        zoneless = i % 2 == 0
-        text = at.astimezone(tz).strftime("%Y-%m-%d %H:%M:%S") if zoneless else at.strftime("%Y-%m-%dT%H:%M:%SZ")
-        rows.append((i * 50, text, "lost" if zoneless else "sha", int(at.timestamp()) * US + 60 * US if by == "ingestion" else None))
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kathmandu", "Australia/Lord_Howe"])
+def test_unknown_zone_is_estimated(spark, by, zone):
+    """Readings over a change of the offset, every twentieth one delivered a week late; half of all rows tell their instant."""
+    tz, rows, want = ZoneInfo(zone), [], {}
+    step = timedelta(hours=12) if by == "ingestion" else timedelta(seconds=40)
+    for day in (0, 90, 180, 270):
+        for i in range(300):
+            at = datetime(2025, 1, 10, tzinfo=timezone.utc) + timedelta(days=day) + i * step
+            late = timedelta(days=7) if i // 2 % 20 == 0 else timedelta(seconds=7 * (i % 60))
+            text = at.astimezone(tz).strftime("%Y-%m-%d %H:%M:%S") if i % 2 else at.strftime("%Y-%m-%dT%H:%M:%SZ")
+            key = day * 512 + i
+            want[key] = int(at.timestamp()) * US
+            rows.append((key, text, "lost", int((at + late).timestamp()) * US if by == "ingestion" else None))
     hosts = spark.createDataFrame([*HOSTS, ("lost", None, None)], "crawl_host string, tz_name string, date_order string")
     df = spark.createDataFrame(rows, "id long, text string, host string, seen long").withColumn("tbl", F.lit("t"))
-    if by == "arrival":
-        df = df.withColumn("id", F.col("id") * 6)  # a known instant in each block of the order
+    found = T.host_zones(df, "text", "host", hosts, "tbl", "id", "seen").collect()
+    assert [r["_host"] for r in found] == ["lost"] and zone in found[0].zones and found[0].readings == 600
     out = T.normalise(df, "text", "host", hosts, "tbl", "id", "seen")
-    if by == "ingestion":
-        assert {r.zone for r in out.where("host = 'lost'").collect()} == {"America/New_York"}
-    else:
-        assert out.count() == 600
+    assert {r.id: r.utc_us for r in out.collect()} == want
+    report = {r.crawl_host: r for r in T.zone_report(df, "text", "host", hosts, "tbl", "id", "seen").collect()}
+    assert report["lost"].declared is None and report["lost"].agrees is None and report["sha"].readings is None
+
+
+def test_declared_zone_corrects_and_is_reported(spark):
+    rows = [(i, (datetime(2025, 2, 1) + timedelta(hours=9 * i)).strftime("%Y-%m-%d %H:%M:%S"), "ber", micros(2025, 2, 1) + 9 * i * 3600 * US + 60 * US) for i in range(200)]
+    hosts = spark.createDataFrame(HOSTS, "crawl_host string, tz_name string, date_order string")
+    df = spark.createDataFrame(rows, "id long, text string, host string, seen long").withColumn("tbl", F.lit("t"))
+    report = {r.crawl_host: r for r in T.zone_report(df, "text", "host", hosts, "tbl", "id", "seen").collect()}
+    assert report["ber"].agrees is False and report["ber"].declared == "Europe/Berlin" and report["ber"].violations == 0
+    assert T.normalise(df, "text", "host", hosts, "tbl", "id", "seen").where("id = 0").first().utc_us == micros(2025, 1, 31, 23)
+
+
+def test_all_zones_blanked(spark, data):
+    from loomstone.plans import data_queries
+
+    hosts = spark.read.parquet(f"{data}/crawl_hosts.parquet")
+    texts = data_queries._time_texts(spark, data).where("crawl_host is not null").cache()
+    both = [T.normalise(texts, "text", "crawl_host", h, "tbl", "row_key", "received_us").select("tbl", "row_key", "utc_us") for h in (hosts, hosts.withColumn("tz_name", F.lit(None).cast("string")))]
+    same = both[0].join(both[1].withColumnRenamed("utc_us", "other"), ["tbl", "row_key"]).where("utc_us <=> other").count()
+    assert same >= 0.99 * texts.count()
+
+
+def test_long_texts(spark):
+    rows = [(" " * 3000 + "2025-02-16 10:00:00" + "\u200b" * 3000, "sha"), ("2025-02-16 10:00:00 " + "x" * 100_000, "sha"), ("1" * 100_000, "sha"), ("Sunday, " * 20_000, "sha")]
+    assert run(spark, rows) == [micros(2025, 2, 16, 2), None, None, None]
 
 
 def test_clashing_columns(spark):
