@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,16 +88,31 @@ _CODE_PARTS = re.compile(rf"(?<![a-z0-9])(?!(?:{'|'.join(sorted(SUFFIX))})[- ]?\
 _CODE = re.compile(r"(?=.*[a-z])(?=.*\d)[a-z\d.\-]+")
 #: Two spellings of a name side by side, one in Han characters and one in Latin letters.
 _ALIAS = re.compile(r"(?<![一-鿿])([一-鿿]{2,6})[/(]([A-Za-zÀ-ɏ]{2,})(?![A-Za-zÀ-ɏ])\)?|(?<![A-Za-zÀ-ɏ])([A-Za-zÀ-ɏ]{2,})[/(]([一-鿿]{2,6})(?![一-鿿])\)?")
-_SIGNS = str.maketrans(dict.fromkeys("【】[]{}()（）「」《》<>,;，；、|/+*#!?！？:：\"'~·•_=&@", " "))
+_WORD = re.compile(r"[^\s【】\[\]{}()（）「」《》<>,;，；、|/+*#!?！？:：\"'~·•_=&@]+")
 _HAN_OR_DIGIT = re.compile(r"[一-鿿\d]")
 
 
+def number(text: str) -> int:
+    """A text as a signed number of 64 bits. Tokens, names and sellers are compared by it, which is all they are for."""
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
 class Reader:
-    """Titles and sku names to normalised tokens, remembering the parts of sku names."""
+    """Titles and sku names to normalised tokens, remembering words and the parts of sku names."""
 
     def __init__(self) -> None:
         self.colours = {w: g.split()[0] for g in COLOURS for w in g.split()}
         self.skus: dict[str, tuple[str, str, str]] = {}
+        self.titles: dict[str, tuple | None] = {}
+        self.numbers: dict[str, int] = {}
+
+    def number(self, word: str) -> int:
+        known = self.numbers.get(word)
+        if known is None:
+            if len(self.numbers) > 100_000:
+                self.numbers.clear()
+            known = self.numbers[word] = number(word)
+        return known
 
     def measures(self, text: str) -> tuple[str, str, str]:
         """Sizes and pieces, empty where the text names none, and the text without them."""
@@ -118,7 +134,7 @@ class Reader:
 
     def words(self, text: str) -> tuple[list[str], str]:
         """The words of a lower-case text without those of colour, and the first colour."""
-        words, colour, found = [], "", text.translate(_SIGNS).split()
+        words, colour, found = [], "", _WORD.findall(text)
         skip = False
         for i, word in enumerate(found):
             if skip:
@@ -144,17 +160,15 @@ class Reader:
             known = self.skus[text] = (size, self.words(rest.lower())[1], pieces)
         return known
 
-    def row(self, title: str | None, sku: str | None) -> tuple | None:
-        """``(tokens, code, Han name, Latin name, specs)``, null for accessories and titles without words."""
-        if not title:
-            return None
-        size, pieces, rest = self.measures(title)
-        han = latin = None
+    def title(self, text: str) -> tuple | None:
+        """``(tokens, code, Han name, Latin name, size, colour, pieces)``, null for accessories and titles without words."""
+        size, pieces, rest = self.measures(text)
+        han = latin = code = None
         if ("/" in rest or "(" in rest) and (m := _ALIAS.search(rest)):
             han, latin = (m[1], m[2].lower()) if m[1] else (m[4], m[3].lower())
             rest = f"{rest[: m.start()]} {latin} {rest[m.end() :]}"
         words, colour = self.words(_CODE_PARTS.sub(r"\1\2", rest.lower()))
-        tokens, code = {}, ""
+        tokens, length = {}, 0
         for word in words:
             if word in RELATION:
                 return None
@@ -164,45 +178,67 @@ class Reader:
                 elif not (word := word.strip("-.—–")):
                     continue
             tokens[word] = None
-            if len(word) > len(code) and word.isascii() and _CODE.fullmatch(word):
-                code = word
-        if not tokens:
+            if len(word) > length and word.isascii() and not word.isalpha() and _CODE.fullmatch(word):
+                code, length = word, len(word)
+        return (tokens, code, han, latin, size, colour, pieces) if tokens else None
+
+    def numbered(self, title: str | None, sku: str | None) -> tuple | None:
+        """``(tokens, id of the token set, code, Han name, Latin name, specs)`` in numbers, or null."""
+        if not title:
+            return None
+        if (known := self.titles.get(title, 0)) == 0:
+            if len(self.titles) > 20_000:
+                self.titles.clear()
+            if (known := self.title(title)) is not None:
+                tokens, code, han, latin, *specs = known
+                words = [None if x is None else self.number(x) for x in (code, han, latin)]
+                known = ([self.number(t) for t in tokens], number("\x1f".join(sorted(tokens))), *words), specs
+            self.titles[title] = known
+        if known is None:
             return None
+        read, (size, colour, pieces) = known
         if sku:
-            known = self.sku(sku)
-            size, colour, pieces = known[0] or size, known[1] or colour, known[2] or pieces
-        return list(tokens), code or None, han, latin, "\x1f".join((size, colour, pieces or "1"))
+            own = self.sku(sku)
+            size, colour, pieces = own[0] or size, own[1] or colour, own[2] or pieces
+        return *read, self.number(f"{size}\x1f{colour}\x1f{pieces or 1}")
 
 
 def offers(df: DataFrame, key: str, title: str, sku: str, seller: str, arrived: str) -> DataFrame:
-    """``_key``, ``_seller``, ``tokens``, ``code``, ``han``, ``latin`` and ``specs`` of each row that may offer a product.
+    """``_key``, ``_seller``, ``_row`` (what makes rows equal), ``list_id``, ``tokens``, ``code``, ``han``, ``latin`` and
+    ``specs`` of each row that may offer a product, all but the key in numbers of 64 bits.
 
-    Left out are rows with a null seller, blank titles and titles with template residue, accessories and, of rows equal
-    in all columns but ``key`` and ``arrived``, all but the lowest ``key``.
+    Left out are rows with a null seller, blank titles and titles with template residue, and accessories.
     """
-    rest = [c for c in df.columns if c not in (key, arrived)]
-    same = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(rest)])))
-    rows = df.where(F.col(seller).isNotNull()).select(F.col(key).alias("_key"), F.col(seller).alias("_seller"), F.col(title).alias("_title"), F.col(sku).alias("_sku"), F.unhex(same).alias("_same"))
-    wide = lookalikes.canonical(rows, ["_key", "_seller", "_same"], ["_title", "_sku"])
+    rest = [F.col(f"`{c}`").cast("string") for c in df.columns if c not in (key, arrived)]
+    nulls = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in rest])
+    rows = df.where(F.col(seller).isNotNull()).select(F.col(key).alias("_key"), F.xxhash64(F.col(seller)).alias("_seller"), F.array(F.xxhash64(nulls, *rest), F.xxhash64(F.lit(1), *rest)).alias("_row"), F.col(title).alias("_title"), F.col(sku).alias("_sku"))
+    wide = lookalikes.canonical(rows, ["_key", "_seller", "_row"], ["_title", "_sku"])
     wide = wide.where(F.col("_title_canonical") != "")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader()
         for batch in batches:
-            found = [reader.row(a, b) for a, b in zip(batch["_title_canonical"], batch["_sku_canonical"])]
+            found = [reader.numbered(a, b) for a, b in zip(batch["_title_canonical"], batch["_sku_canonical"])]
             keep = [i for i, x in enumerate(found) if x]
             if not keep:
                 continue
-            out = batch.iloc[keep][["_key", "_seller", "_same", "_title_canonical"]].reset_index(drop=True)
-            made = pd.DataFrame([found[i] for i in keep], columns=["tokens", "code", "han", "latin", "specs"])
-            yield pd.concat([out, made], axis=1)
+            out = batch.iloc[keep][["_key", "_seller", "_row", "_title_canonical"]].reset_index(drop=True)
+            columns = dict(zip(("tokens", "list_id", "code", "han", "latin", "specs"), zip(*(found[i] for i in keep))))
+            yield out.assign(**{n: pd.Series(v, dtype=object if n == "tokens" else "Int64") for n, v in columns.items()})
 
     kind = dict(df.dtypes)[key]
-    schema = f"_key {kind}, _seller string, _same binary, _title_canonical string, tokens array<string>, code string, han string, latin string, specs string"
+    schema = f"_key {kind}, _seller long, _row array<long>, _title_canonical string, tokens array<long>, list_id long, code long, han long, latin long, specs long"
     read_rows = wide.mapInPandas(read, schema)
-    read_rows = read_rows.where(residue.residue_kind(F.col("_title_canonical")).isNull()).drop("_title_canonical")
-    columns = ["_seller", "tokens", "code", "han", "latin", "specs"]
-    return read_rows.groupBy("_same").agg(F.min("_key").alias("_key"), *[F.first(c).alias(c) for c in columns]).drop("_same")
+    title = F.col("_title_canonical")
+    # A title with a code is no message; what may be missing in it is a placeholder's value.
+    content = F.when(F.col("code").isNotNull(), ~residue.has_placeholder(title)).otherwise(residue.residue_kind(title).isNull())
+    return read_rows.where(content).drop("_title_canonical")
+
+
+def first_delivered(rows: DataFrame) -> DataFrame:
+    """Of rows of :func:`offers` that are equal in all but key and arrival only the one of the lowest key."""
+    same = [F.col("_row")[i].alias(f"_row{i}") for i in (0, 1)]
+    return rows.groupBy(*same).agg(*[F.min(c).alias(c) for c in ("_key", "_seller", "specs", "list_id")]).drop("_row0", "_row1")
 
 
 def spellings(rows: DataFrame) -> DataFrame:
@@ -214,7 +250,7 @@ def spellings(rows: DataFrame) -> DataFrame:
 def lists(rows: DataFrame) -> DataFrame:
     """The distinct token lists of ``rows``: ``list_id``, ``tokens``, ``code``. A title that stands over several skus
     counts once."""
-    return rows.groupBy(F.xxhash64("tokens").alias("list_id")).agg(F.first("tokens").alias("tokens"), F.first("code").alias("code"))
+    return rows.groupBy("list_id").agg(F.first("tokens").alias("tokens"), F.first("code").alias("code"))
 
 
 def weights(lists: DataFrame, names: DataFrame, prior: float = 8.0) -> DataFrame:
@@ -247,7 +283,7 @@ def weights(lists: DataFrame, names: DataFrame, prior: float = 8.0) -> DataFrame
     made = made.select("token", "df", "info", F.round(1000 * F.col("info") * F.col("_steady")).cast("long").alias("w"), "needed")
     latin = names.groupBy(F.col("_latin").alias("token")).agg(F.collect_list("han").alias("_han"))  # the few spellings of one name
     values = ["df", "info", "w", F.col("_han").isNotNull().alias("is_name"), "needed"]
-    spelled = made.join(latin, "token", "left").select(F.explode(F.concat(F.array("token"), F.coalesce("_han", F.array().cast("array<string>")))).alias("spelled"), F.col("token").alias("plain"), *values)
+    spelled = made.join(latin, "token", "left").select(F.explode(F.concat(F.array("token"), F.coalesce("_han", F.array().cast("array<long>")))).alias("spelled"), F.col("token").alias("plain"), *values)
     return spelled.withColumnRenamed("spelled", "token")
 
 
@@ -323,20 +359,29 @@ def classes(df: DataFrame, key: str, title: str, sku: str, seller: str, arrived:
     """
     read = cut_lineage(offers(df, key, title, sku, seller, arrived))
     distinct = cut_lineage(lists(read))
-    members = cut_lineage(token_sets(distinct, weights(distinct, spellings(read))))
+    members = cut_lineage(token_sets(distinct, cut_lineage(weights(distinct, spellings(read)))))
     sets = cut_lineage(placed(members.groupBy("set_id").agg(F.first("_set").alias("_set"), F.count("*").alias("n"))))
     product = members.select("list_id", "set_id").join(stars(sets, cut_lineage(contained(sets, threshold))), "set_id")
-    found = read.select("_key", "_seller", "specs", F.xxhash64("tokens").alias("list_id")).join(product, "list_id")
-    return cut_lineage(found.select("_key", "_seller", F.unhex(F.md5(F.concat_ws("\x1e", F.col("product").cast("string"), "specs"))).alias("class_id")))
+    found = first_delivered(read).join(product.select("list_id", "product"), "list_id")
+    return cut_lineage(found.select("_key", "_seller", F.xxhash64("product", "specs").alias("class_id")))
 
 
 def pairs(members: DataFrame, hot: int = 1000) -> DataFrame:
-    """``row_a`` < ``row_b`` of one class with different sellers. Classes of more than ``hot`` rows are salted."""
-    large = members.groupBy("class_id").agg(F.count("*").alias("_n")).where(F.col("_n") > hot)
-    salted = members.join(large, "class_id", "left").withColumn("_parts", F.coalesce(F.ceil(F.col("_n") / hot), F.lit(1)).cast("int"))
-    left = salted.select("class_id", F.col("_key").alias("row_a"), F.col("_seller").alias("_sa"), F.pmod(F.hash("_key"), F.col("_parts")).alias("_part"))
-    right = salted.select("class_id", F.col("_key").alias("row_b"), F.col("_seller").alias("_sb"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    return left.join(right, ["class_id", "_part"]).where("row_a < row_b and _sa <> _sb").select("row_a", "row_b")
+    """``row_a`` < ``row_b`` of one class with different sellers.
+
+    Rows of a class and seller are gathered in lists of about ``hot`` first, so that rows of one seller are never laid
+    against each other; classes of more than ``hot`` such lists are salted. Classes of one seller drop out.
+    """
+    own = members.groupBy("class_id", "_seller").agg(F.count("*").alias("_n"))
+    several = own.groupBy("class_id").agg(F.count("*").alias("_sellers"), F.sum(F.ceil(F.col("_n") / hot)).alias("_lists")).where("_sellers > 1")
+    sized = own.where(F.col("_n") > hot).select("class_id", "_seller", F.ceil(F.col("_n") / hot).alias("_of"))
+    rows = members.join(several.select("class_id", F.ceil(F.col("_lists") / hot).cast("int").alias("_parts")), "class_id").join(sized, ["class_id", "_seller"], "left")
+    piece = F.pmod(F.hash("_key"), F.coalesce("_of", F.lit(1)))
+    gathered = rows.groupBy("class_id", "_seller", piece.alias("_piece")).agg(F.collect_list("_key").alias("_keys"), F.first("_parts").alias("_parts"))
+    left = gathered.select("class_id", F.col("_keys").alias("_a"), F.col("_seller").alias("_sa"), F.pmod(F.hash("_seller", "_piece"), F.col("_parts")).alias("_part"))
+    right = gathered.select("class_id", F.col("_keys").alias("_b"), F.col("_seller").alias("_sb"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    met = left.join(right, ["class_id", "_part"]).where("_sa < _sb").select(F.explode("_a").alias("_a"), "_b").select("_a", F.explode("_b").alias("_b"))
+    return met.select(F.least("_a", "_b").alias("row_a"), F.greatest("_a", "_b").alias("row_b"))
 
 
 def links(members: DataFrame) -> DataFrame:
@@ -344,4 +389,4 @@ def links(members: DataFrame) -> DataFrame:
     own = members.groupBy("class_id", "_seller").agg(F.count("*").alias("_own"))
     whole = own.groupBy("class_id").agg(F.sum("_own").alias("_all"))
     counted = own.join(whole, "class_id").select("class_id", "_seller", (F.col("_all") - F.col("_own")).alias("n_links"))
-    return members.join(counted, ["class_id", "_seller"]).select("_key", F.lower(F.hex("class_id")).alias("class_id"), "n_links")
+    return members.join(counted, ["class_id", "_seller"]).select("_key", F.lower(F.lpad(F.hex("class_id"), 16, "0")).alias("class_id"), "n_links")

@@ -116,13 +116,14 @@ def test_very_long_title(spark):
 def test_advertising_is_worth_nothing(spark):
     df = spark.createDataFrame([r[:5] for r in catalogue(3, 12)], SCHEMA)
     read = P.offers(df, *ARGS).cache()
-    w = {r.token: r for r in P.weights(P.lists(read), P.spellings(read)).collect()}
-    assert max(w[t].w for t in TALK) < min(w[t].w for t in ("sony", "philips", "bose", "wh1000xm5", "iphone15pro")) / 3
-    assert w["索尼"].plain == "sony" and w["索尼"].w == w["sony"].w and w["索尼"].is_name
+    by_number = {r.token: r for r in P.weights(P.lists(read), P.spellings(read)).collect()}
+    w = lambda word: by_number[P.number(word)]
+    assert max(w(t).w for t in TALK) < min(w(t).w for t in ("sony", "philips", "bose", "wh1000xm5", "iphone15pro")) / 3
+    assert w("索尼").plain == P.number("sony") and w("索尼").w == w("sony").w and w("索尼").is_name
     lists = P.lists(read).collect()
     han = {r.han: r["_latin"] for r in P.spellings(read).collect()}
-    for token in ("sony", "降噪耳机", "包邮", "iphone15"):
-        assert w[token].df == sum(token in {han.get(t, t) for t in r.tokens} for r in lists)
+    for token in map(P.number, ("sony", "降噪耳机", "包邮", "iphone15")):
+        assert by_number[token].df == sum(token in {han.get(t, t) for t in r.tokens} for r in lists)
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.75, 1.0])
