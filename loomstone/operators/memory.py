@@ -11,11 +11,16 @@ SCHEMA = "at string, page_pattern string, page_url string, field string, old str
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of JSON-lines logs with ``line_no`` inside their file; blank and malformed lines are skipped.
+    """Rows of JSON-lines logs with ``line_no``, their order by file, then by place in it; blank and malformed lines are
+    skipped. The number grows along a file but counts no lines: a file is read in splits, whose rows are numbered each
+    from the split's first byte.
 
     ``ok`` and ``approved`` are true only for the literal ``true``.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("line_no"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    # Rows of a split have ascending ids, and no split holds more lines than bytes.
+    first = F.broadcast(lines.groupBy("source", "_block").agg(F.min("_id").alias("_first")))  # one row a split
+    lines = lines.join(first, ["source", "_block"]).withColumn("line_no", F.col("_block") + F.col("_id") - F.col("_first"))
     parsed = lines.withColumn("_v", parse_json(F.col("value"))).where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
     text = lambda name: F.coalesce(F.try_variant_get("_v", f"$.{name}", "string"), F.lit("")).alias(name)
     literal = lambda name: F.coalesce((F.schema_of_variant(F.try_variant_get("_v", f"$.{name}", "variant")) == "BOOLEAN") & F.try_variant_get("_v", f"$.{name}", "boolean"), F.lit(False)).alias(name)

@@ -42,11 +42,27 @@ def deduplicate(df: DataFrame, order: Sequence[str], source: str = "_source") ->
     return folded.select("_record.*", "_fingerprint", "_sources", "_copies", "_first")
 
 
+def numbered(df: DataFrame, order: Sequence, name: str = "position") -> DataFrame:
+    """``df`` with ``name``, the place of each row in the whole ``order`` from 1.
+
+    Numbered in blocks: the place within its partition of the order, shifted by the sizes of those before it, so no
+    task ever holds more than its part.
+    """
+    from pyspark.sql import Window
+
+    placed = cut_lineage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"_block": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    sizes = placed.groupBy("_block").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select("_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(starts), "_block").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_row") + 1).alias(name))
+
+
 def stable_distinct(df: DataFrame, value: str, order: Sequence[str]) -> DataFrame:
-    """Non-empty stripped values once each with ``position``, the order they first came in (from 1)."""
+    """Non-empty stripped values once each with ``_o``, where they first came, and ``position``, their order (from 1)."""
     text = F.trim(F.col(value))
     first = df.select(text.alias(value), F.struct(*order).alias("_o")).where(F.col(value) != "").groupBy(value).agg(F.min("_o").alias("_o"))
-    return first.orderBy("_o").select(value, "_o")
+    return numbered(first, ["_o", value])
 
 
 def first_seen_columns(df: DataFrame, key: str, fields: str) -> DataFrame:
@@ -82,18 +98,9 @@ def report(df: DataFrame, source: str) -> DataFrame:
 
     Sources are counted before they are ordered; null sources come as ``unknown``.
     """
-    from pyspark.sql import Window
-
     counts = df.groupBy(F.coalesce(F.col(source), F.lit("unknown")).alias("_s")).agg(F.count("*").alias("_n"))
     head = counts.agg(F.lit(1).alias("line_no"), F.concat(F.lit("Records: "), F.coalesce(F.sum("_n"), F.lit(0)).cast("string"), F.lit("; sources: "), F.count("*").cast("string")).alias("line"))
-    # Numbered in blocks: the place in its partition of the whole order, shifted by the sizes of those before it.
-    placed = cut_lineage(counts.orderBy(F.desc("_n"), "_s").select("_s", "_n", F.monotonically_increasing_id().alias("_at")))
-    placed = placed.withColumns({"_block": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
-    sizes = placed.groupBy("_block").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    starts = sizes.select("_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    number = (F.col("_before") + F.col("_row") + 2).cast("int").alias("line_no")
-    lines = placed.join(F.broadcast(starts), "_block").select(number, F.concat(F.lit("- "), "_s", F.lit(": "), F.col("_n").cast("string")).alias("line"))
+    lines = numbered(counts, [F.desc("_n"), "_s"], "_at").select((F.col("_at") + 1).cast("int").alias("line_no"), F.concat(F.lit("- "), "_s", F.lit(": "), F.col("_n").cast("string")).alias("line"))
     return head.unionByName(lines)
 
 

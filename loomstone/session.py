@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,13 +36,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Input below which a table is dealt over all cores: less than this for each would leave some idle.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files give fewer partitions than there are cores, else unchanged.
+    """``df`` over all cores if its files hold less than ``SPREAD_BYTES`` together and give fewer partitions than there
+    are cores; the rows are the same either way.
 
-    Only tables of a few small files are ever moved; a large table has more partitions than cores and is not shuffled.
+    The size is that of the files in the optimized plan, so the choice costs no job, and no table above that size is
+    ever moved, however many cores there are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) >= SPREAD_BYTES:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def once(df: DataFrame, columns: Mapping[str, Column], keep: Sequence[str]) -> DataFrame:
@@ -57,9 +67,15 @@ def once(df: DataFrame, columns: Mapping[str, Column], keep: Sequence[str]) -> D
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is chosen.
+    Only where that is unset and the session runs in one process (tests) a temporary folder is chosen; a cluster
+    without the setting is refused, since a folder of one machine would be lost with it.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loomstone-checkpoint")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "loomstone-checkpoint")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -61,16 +61,21 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown_table(df, ["i"]).splitlines()[2:] == ["| 1 | a \"q\" \\| x |  |", "| 2 |  | 多 line |"]
 
 
-def test_registry_and_workflow(tmp_path):
-    reg = R.Registry()
-    reg.add(R.Operator("file.read", lambda df: df, ("path",)))
-    reg.add(R.Operator("data.normalize", lambda df: df))
+def test_registry_and_workflow(spark, tmp_path):
+    reg = R.Registry(R.Operator("file.read", lambda df: df, frozenset({"path"})), R.Operator("data.normalize", lambda df: df))
     with pytest.raises(ValueError):
         reg.add(R.Operator("file.read", lambda df: df))
-    (tmp_path / "w.yaml").write_text("steps:\n- {tool: file.read, for_each: files, description: 'read $item', arguments: {path: $item}}\n- {tool: data.normalize}\n- {tool: data.normalize, when: nothing}\n")
-    steps = R.build_steps(files.read_config(str(tmp_path / "w.yaml")), reg, {"files": ["a", "b"], "nothing": []}, {"goal": "g"})
-    assert [(s["id"], s["arguments"]) for s in steps] == [("step-01", {"path": "a"}), ("step-02", {"path": "b"}), ("step-03", {})]
-    for bad in ({"steps": []}, {"steps": [{"tool": "none"}]}, {"steps": [{"tool": "file.read"}]}, {"steps": [{"tool": "data.normalize", "when": "odd"}]}):
+    assert list(reg) == ["data.normalize", "file.read"] and reg.describe()[1]["needs"] == ["path"]
+    (tmp_path / "w.yaml").write_text("requires: [files]\nsteps:\n- {tool: file.read, for_each: files, description: 'read $item of $go', arguments: {path: $item, }}\n- {tool: data.normalize}\n- {tool: data.normalize, when: nothing}\n- {tool: data.normalize, when: always, for_each: nothing}\n")
+    definition = files.read_config(str(tmp_path / "w.yaml"))
+    steps = R.expand(definition, reg, {"files": ["a", "b"], "nothing": []}, {"go": "g", "goal": "h"})
+    assert [(s["id"], s["description"], s["arguments"]) for s in steps] == [("step-01", "read a of g", {"path": "a"}), ("step-02", "read b of g", {"path": "b"}), ("step-03", "Run data.normalize", {})]
+    for bad in ({"steps": []}, {}, {"steps": [{"tool": "none"}]}, {"steps": [{"tool": "file.read"}]}, {"steps": [{"tool": "data.normalize", "when": "odd"}]}, {"requires": ["files"], "steps": [{"tool": "data.normalize"}]}):
         with pytest.raises(ValueError):
-            R.build_steps(bad, reg, {"files": []}, {})
+            R.expand(bad, reg, {"files": []}, {})
+    assert R.fill({"a": ["$goal", "$go and $goal", "$x", 3]}, {"go": [1], "goal": 2}) == {"a": [2, "[1] and 2", "$x", 3]}
     assert R.fingerprint({"b": 1, "a": "é"}) == R.fingerprint({"a": "é", "b": 1})
+    row = R.catalogue(spark, {"w": definition}).first()
+    assert (row.name, row.n_steps, row.tools) == ("w", 4, ["data.normalize", "file.read"]) and row.sha256 == R.fingerprint(definition)
+    known = R.built_in()
+    assert {"records.deduplicate", "memory.best_repairs", "snapshots.changes"} <= set(known) and "df" in known["records.deduplicate"].needs
