@@ -48,7 +48,7 @@ def spread(df: DataFrame) -> DataFrame:
     ever moved, however many cores there are.
     """
     spark = df.sparkSession
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) >= SPREAD_BYTES:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SPREAD_BYTES:
         return df
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
