@@ -15,6 +15,8 @@ CONTENT = [
     "The history of lorem ipsum", "Undefined behaviour in C, chapter 3", "Enabling JavaScript in embedded browsers: three options compared", "How to fix a 404 page: a field guide", "Null Island: a travelogue, part 2", "Not Found Gallery opens its spring show",
     "Error budgets explained for small teams", "Fehler 404 verstehen: Teil 2", "为什么页面会返回 404 - 运维笔记 3", "占位图设计史 第9讲", "Template engines compared: {{ }} or <% %>?", "JavaScript 从入门到实践 第6版 图书", "Python Django 模板语法 手册", "月书墨 模板 尺子 {圆形} 绘图",
     "麦米门 404 号色 哑光口红", "loading 图案马克杯", "Lorem Ipsum 排版海报 青笔鼓 43x90cm", "请勿打扰 门挂牌 东白林", "验证码 T恤 黑色", "程序员 Hello World {} 徽章", "Service level report, week 30", "use `{{name}}` in Jinja templates", "", " ", None,
+    "our product is available", "The store is available", "Unser Akku ist nicht wasserdicht", "Notre lampe n'est pas chère", "Cargando bateria solar", "Merci d'avoir choisi notre lampe", "Sorry, the product ships late",
+    "Diese Lampe ist nicht dimmbar", "La lampe n'est pas étanche", "El cargador no está incluido", "Chargement solaire rapide",
 ]
 
 
@@ -38,6 +40,6 @@ def test_edges(spark):
 
 
 def test_every_scripts_notice_passes_the_hint(spark):
-    notices = ["Habilite las secuencias de comandos en su navegador", "请启用js后继续", "本站需要启用js", "CE SITE NÉCESSITE LES SCRIPTS"]
+    notices = ["开启JS后继续", "Activa tu navegador", "Enable cookies and reload", "Veuillez autoriser les scri...", "Habilite las secuencias de comandos en su navegador", "请启用js后继续", "本站需要启用js", "CE SITE NÉCESSITE LES SCRIPTS"]
     df = spark.createDataFrame(list(enumerate(notices)), "k long, t string")
     assert {r.text: r.kind for r in R.find(df, "k", "t").collect()} == dict.fromkeys(notices, "scripts")
