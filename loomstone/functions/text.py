@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +59,11 @@ def hostname(url: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), r"\.+$", ""))
 
 
+def plain_key(name: object) -> str:
+    """:func:`normalize_key` of a single name."""
+    return re.sub(r"[^a-z0-9]+", "_", str(name).strip().lower()).strip("_")
+
+
 def normalize_key(key: Column) -> Column:
     """Lower case with runs of other signs as one ``_``, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(strip(key)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")

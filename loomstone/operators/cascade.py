@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import strip
+from loomstone.operators import jsonpath
 from loomstone.operators.gate import validate
+from loomstone.operators.markup import select_first
 from loomstone.session import once
 
 # How far a stage is trusted.
@@ -111,3 +113,25 @@ def from_context(value: Column, selected: Column, declared_capture: bool, rules:
     selected value if the path begins at a declared capture, and else what was found there."""
     good = (F.coalesce(value, F.lit("")) != "") & validate(value, rules)["passed"]
     return F.when(good, value).otherwise(F.coalesce(selected if declared_capture else value, F.lit("")))
+
+
+def read_context(path: str, context: Mapping[str, Column], payload: str = "payload") -> Column:
+    """Text at a dotted path of what is known of a page, ``''`` for nothing.
+
+    ``context`` holds a variant per name. The literal prefix ``payload.`` asks the payload, whatever its name there; a
+    path that begins with a name of the context asks that; any other path asks the payload. All is decided when the
+    plan is built.
+    """
+    clean = path.strip()
+    first, _, rest = clean.partition(".")
+    if clean.startswith("payload.") and payload in context:
+        return jsonpath.resolve(context[payload], rest)
+    if first in context:
+        return jsonpath.resolve(context[first], rest) if rest else F.coalesce(F.try_variant_get(context[first], "$", "string"), F.to_json(context[first]), F.lit(""))
+    return jsonpath.resolve(context[payload], clean) if clean and payload in context else F.lit("")
+
+
+def page_fields(item: Column, page: Column, fields: Mapping[str, tuple[str, str]]) -> dict[str, Column]:
+    """Text per field from simple selectors: ``name: (selector, scope)``; the scope ``page`` reads the whole page also
+    inside an item, any other the item."""
+    return {name: select_first(page if scope == "page" else item, selector) for name, (selector, scope) in fields.items()}

@@ -53,6 +53,12 @@ def select_items(html: Column, selector: str) -> Column:
     return F.regexp_extract_all(html, F.lit("(?is)(" + opening[0] + r".*?</\2\s*>)"), 1)
 
 
+def select_all_text(html: Column, selector: str) -> Column:
+    """Stripped texts of all elements a simple selector meets, without empty ones, joined by a blank; ``''`` for none."""
+    texts = F.transform(select_items(html, selector), lambda item: collapse(F.regexp_replace(item, r"(?s)<[^>]+>", " ")))
+    return F.coalesce(F.array_join(F.filter(texts, lambda t: t != ""), " "), F.lit(""))
+
+
 def _plain(html: Column) -> Column:
     """Markup without comments and without the bodies of scripts and styles."""
     bare = F.regexp_replace(html, r"(?s)<!--.*?-->", "")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as X
-from loomstone.operators import captures, cascade, episodes, gate, jsonpath, markup, memory, metrics, records
+from loomstone.operators import captures, cascade, episodes, gate, jsonpath, markup, memory, metrics, patches, records
 from loomstone.plans.registry import ECOMMERCE, adapter_name
 from loomstone.session import once, spread, table
 from loomstone.sources import files
@@ -766,6 +766,42 @@ def artifact_objects(spark, d):
     return episodes.artifact_objects(ev.where("event_type <> 'validation'"), evidence, store)
 
 
+_PATCH = """CASE id % 8 WHEN 0 THEN '{"fields":[{"name":"' || event_type || '"}]}' WHEN 1 THEN '{"request":{"timeout_ms":' || CAST(sequence AS VARCHAR) || '00000}}' WHEN 2 THEN '{"browser":{}}' WHEN 3 THEN '{"validation":{"x":{"apiKey":1}}}'
+ WHEN 4 THEN '[{"op":"replace","path":"/captures/0/selector","value":"' || event_type || '"}]' WHEN 5 THEN '[{"op":"move","from":"/fields/0","path":"/fields/1"}]' WHEN 6 THEN '{}' ELSE payload_json END"""
+
+
+@query(f"""SELECT id, CASE id % 8 WHEN 0 THEN true WHEN 1 THEN sequence BETWEEN 1 AND 3 WHEN 4 THEN true ELSE false END AS allowed FROM (SELECT *, {_PATCH} AS patch FROM repair_events)""")
+def patch_allowed(spark, d):
+    p = table(spark, d, "repair_events").select("id", F.expr(_PATCH.replace("VARCHAR", "STRING")).alias("patch"))
+    return p.select("id", patches.patch_fault(F.col("patch")).isNull().alias("allowed"))
+
+
+@query("""SELECT id, '{"fields":[' || CAST(sequence AS VARCHAR) || '],"name":"' || event_type || '","request":{"timeout_ms":' || CAST(1 + id % 9 AS VARCHAR) || ',"wait_until":"load"}}' AS plan FROM repair_events""")
+def patch_applied(spark, d):
+    plan = F.expr("""'{"name":"' || event_type || '","fields":[0],"request":{"wait_until":"load","timeout_ms":10}}'""")
+    patch = F.expr("""'{"fields":[' || cast(sequence as string) || '],"request":{"timeout_ms":' || cast(1 + id % 9 as string) || '}}'""")
+    return table(spark, d, "repair_events").select("id", patches.patched(plan, patch).alias("plan"))
+
+
+@query("""SELECT p.id, CASE WHEN e.id IS NULL THEN 'no such episode' END AS fault FROM repair_events p LEFT JOIN (SELECT id FROM repair_episodes WHERE status = 'open') e ON e.id = p.episode_id""")
+def repair_proposals(spark, d):
+    made = table(spark, d, "repair_events").select("id", "episode_id", F.lit('{"fields":[1]}').alias("patch"))
+    return patches.proposals(made, table(spark, d, "repair_episodes").where("status = 'open'"), "episode_id", "patch").select("id", "fault")
+
+
+@query(f"""WITH {PAGES}, t AS (SELECT row_id, list_transform(regexp_extract_all(html, '(?is)<li class="item">(.*?)</li>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'gs'), '{_BLANKS}', ' ', 'g'))) AS l FROM pages) SELECT row_id, array_to_string(list_filter(l, lambda x: x <> ''), ' ') AS items FROM t""")
+def select_all_text(spark, d):
+    return _pages(spark, d).select("row_id", markup.select_all_text(F.col("html"), "li.item").alias("items"))
+
+
+@query("""SELECT id, coalesce(json_extract_string(payload_json, '$.stage'), '') AS named, coalesce(json_extract_string(payload_json, '$.stage'), '') AS fallen_back, id % 3 || '' AS own FROM repair_events""")
+def context_paths(spark, d):
+    e = table(spark, d, "repair_events").select("id", X.parse_json(F.col("payload_json")).alias("p"), X.parse_json(F.concat(F.lit('{"n":"'), (F.col("id") % 3).cast("string"), F.lit('"}'))).alias("m"))
+    context = {"body": F.col("p"), "meta": F.col("m")}
+    read = lambda path: cascade.read_context(path, context, "body")
+    return e.select("id", read("payload.stage").alias("named"), read("stage").alias("fallen_back"), read("meta.n").alias("own"))
+
+
 # ---------------------------------------------------------------- extensions: not in the reference
 
 

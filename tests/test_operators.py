@@ -284,3 +284,26 @@ def test_report_lists_every_source(spark):
     counts = sorted(((-(3 if i < 100 else 2), f"s{i}") for i in range(450)))
     got = [(r.line_no, r.line) for r in records.report(df, "s").orderBy("line_no").collect()]
     assert got == [(1, "Records: 1000; sources: 450"), *((k + 2, f"- {s}: {-n}") for k, (n, s) in enumerate(counts))]
+
+
+def test_patches():
+    from loomstone.operators import patches as P
+
+    good = [{"fields": [{"name": "x"}]}, {"request": {"wait_until": "load", "timeout_ms": 1}}, [{"op": "test", "path": "/validation/x", "value": 1}], [{"op": "replace", "path": "/request/timeout_ms", "value": 300_000}], [{"op": "remove", "path": "/fields/0"}]]
+    bad = [None, 1, {}, [], ["x"], {"start_url": "x"}, {"fields": {"a": [{"Cookies": 1}]}}, {"captures": {"myToken": 1}}, {"request": {}}, {"request": 3}, {"request": {"headers": {}}}, {"request": {"timeout_ms": True}}, {"request": {"timeout_ms": 300_001}}, {"request": {"wait_until": []}}, {"request": {"wait_for_selector": " "}},
+           [{"op": "move", "path": "/fields/0"}], [{"op": "add", "path": "fields"}], [{"op": "add", "path": "/request"}], [{"op": "add", "path": "/fields/0/url"}], [{"op": "add", "path": "/fields/0", "from": "/x"}], [{"op": "add", "path": "/fields/0", "value": {"proxy": 1}}]]
+    assert [P.fault(x) for x in good] == [None] * len(good)
+    assert [x for x in bad if P.fault(x) is None] == []
+    plan = {"name": "n", "request": {"wait_until": "load"}, "fields": [1]}
+    assert P.applied(plan, {"request": {"timeout_ms": 5}, "fields": []}) == {"name": "n", "request": {"wait_until": "load", "timeout_ms": 5}, "fields": []}
+
+
+def test_scope_and_adapter_config(spark):
+    from loomstone.operators import cascade
+    from loomstone.plans.registry import ECOMMERCE
+
+    df = spark.createDataFrame([("<li><b>in</b></li>", "<h1>top</h1><li><b>in</b></li><b>out</b>")], "item string, page string")
+    got = df.select(*[c.alias(n) for n, c in cascade.page_fields(F.col("item"), F.col("page"), {"a": ("b", "item"), "t": ("h1", "page"), "u": ("h1", "item")}).items()]).first()
+    assert (got.a, got.t, got.u) == ("in", "top", "")
+    config = ECOMMERCE.config("https://x", name="mine")
+    assert config["name"] == "mine" and config["start_url"] == "https://x" and config["fields"][0]["fallback_selectors"][0] == "[class*='product-name']" and config["fields"][2]["attr"] == "src"
