@@ -1,7 +1,7 @@
 """Filling containers of a fixed capacity with texts.
 
 Texts longer than a container are cut into whole containers and a rest; nothing else is cut. The rests and the other
-texts are dealt by hash into groups of about ``group`` items, whatever the size of the table, and each group is packed
+texts are dealt by hash into groups of about ``group`` items (20,000 unless given), whatever the size of the table, and each group is packed
 by bin completion: around the largest unpacked item the undominated fillings are enumerated, fullest first, and
 searched depth first with a bound on the waste; best-fit decreasing gives the first solution to beat. Items of
 different groups never meet, so every group may leave a container partly empty.
@@ -169,7 +169,7 @@ def complete(sizes: Sequence[int], capacity: int, nodes: int = 20_000, steps: in
     return [[items[s].pop() for s in way] for way in best]
 
 
-def pack(df: DataFrame, key: str, text: str, bins: DataFrame, vocabulary: str = tokens.VOCABULARY, group: int = 1000) -> DataFrame:
+def pack(df: DataFrame, key: str, text: str, bins: DataFrame, vocabulary: str = tokens.VOCABULARY, group: int = 20_000) -> DataFrame:
     """``bin_kind``, ``bin_id``, ``capacity_tokens``, the key, ``part`` (from 1), ``first_token`` and ``n_tokens``.
 
     ``bins`` holds ``bin_kind`` and ``capacity_tokens``, a fixed list. Every text is assigned once per kind; texts
