@@ -28,12 +28,12 @@ from loomstone.llm.lookalikes import SAME, SAME_LATIN, compatibility_forms
 BITS = 18
 _HANS = "一-鿿぀-ヿ가-힯"
 # A sentence ends at '.', '!' or '?' only before a blank, the end or a character beyond ASCII, or where they stand in a row.
-_END = r"[.!?…]+[\"')\]]*(?=\s|$|[^\x00-\x7f])|[.!?]{2,}|[。！？…]+|\n|$"
-_SENTENCE = re.compile(rf"(?:(?!{_END})[^\n])+(?:{_END})")
+_END = re.compile(r"[.!?…]+[\"')\]]*(?=\s|$|[^\x00-\x7f])|[.!?]{2,}|[。！？…]+|\n")
 # Words written in single letters with one sign or blank between them, each time the same; Han characters likewise,
 # also only two of them where the sign has no other use between them.
 _LETTER = rf"[^\W\d_{_HANS}]"
 _SPELLED = re.compile(rf"(?<![^\W{_HANS}]){_LETTER}([^\w\s]|[_ ]){_LETTER}(?:\1{_LETTER})+(?![^\W{_HANS}])|[{_HANS}]([^\w\s]|[_ ])[{_HANS}](?:\2[{_HANS}])+|[{_HANS}][*~^#@$_][{_HANS}]")
+_NUMBER = re.compile(r"\d+(?:[.,:/-]\d+)*")
 _SIGNS = re.compile(r"[^\w\s]|[_ ]")
 _WORD = re.compile(r"[一-鿿぀-ヿ가-힯]+|[^\W\d_]+(?:[*@$0-9'’·._-]+[^\W\d_]+)*|\d+|[*@$]+")
 _HAN = re.compile(r"[一-鿿぀-ヿ가-힯]")
@@ -53,13 +53,22 @@ class Features:
 
     def __init__(self, bits: int = BITS, table: dict[int, str | None] | None = None) -> None:
         self.mask, self.table = (1 << bits) - 1, plain_table() if table is None else table
+        self.plain = {chr(c): p or "" for c, p in self.table.items()}
+        # One range beyond the basic plane, since single characters of it are tried one after another.
+        self.strange = re.compile("[" + "".join(f"\\u{c:04x}" for c in sorted(self.table) if c < 0x10000) + "\U00010000-\U0010ffff]")
         self.words: dict[str, list[int]] = {}
 
     def sentences(self, text: str) -> list[str]:
         """Sentences with digits masked and spelled-out words joined, in order, each once."""
-        text = re.sub(r"\d+(?:[.,:/-]\d+)*", "0", text.translate(self.table).lower())
-        text = _SPELLED.sub(lambda m: _SIGNS.sub("", m[0]), text)
-        return list(dict.fromkeys(s for m in _SENTENCE.findall(text) if (s := m.strip())))
+        text = self.strange.sub(lambda m: self.plain.get(m[0], m[0]), text).lower()
+        text = _SPELLED.sub(lambda m: _SIGNS.sub("", m[0]), _NUMBER.sub("0", text))
+        found, start = [], 0
+        for end in _END.finditer(text):
+            if end.start() > start:
+                found.append(text[start : end.end()])
+            start = end.end()
+        found.append(text[start:])
+        return [s for s in dict.fromkeys(map(str.strip, found)) if s]
 
     def _hash(self, feature: str) -> int:
         return zlib.crc32(feature.encode()) & self.mask
@@ -120,13 +129,25 @@ class Corpus:
         ids = [features.of(s) for s in index]
         sizes = np.asarray([len(i) for i in ids])
         self.count = len(ids)
-        self.flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        self.active, self.flat = np.unique(flat, return_inverse=True)  # features that occur, and which of them each is
         self.row = np.repeat(np.arange(len(ids)), sizes)
+        self.filled = np.flatnonzero(sizes)  # sentences with features, and where theirs begin
+        self.begins = np.r_[0, np.cumsum(sizes)][self.filled] if ids else np.zeros(0, np.int64)
+        order = np.argsort(self.flat, kind="stable")
+        self.row_of, self.feature_begins = self.row[order], np.r_[0, np.cumsum(np.bincount(self.flat, minlength=len(self.active)))][: len(self.active)].astype(np.int64)
         self.scale = 1.0 / np.sqrt(np.maximum(sizes, 1)) if ids else np.zeros(0)
 
     def linear(self, weights: np.ndarray) -> np.ndarray:
-        """Linear score of every sentence."""
-        return np.bincount(self.row, weights=weights[self.flat], minlength=self.count) * self.scale
+        """Linear score of every sentence, from the weights of the active features."""
+        out = np.zeros(self.count)
+        if len(self.flat):
+            out[self.filled] = np.add.reduceat(weights[self.flat], self.begins)
+        return out * self.scale
+
+    def by_feature(self, values: np.ndarray) -> np.ndarray:
+        """For every active feature the sum over its sentences of a value per sentence."""
+        return np.add.reduceat(values[self.row_of], self.feature_begins) if len(self.flat) else np.zeros(0)
 
     def worst(self, weights: np.ndarray) -> np.ndarray:
         """Linear score of the worst sentence of every text."""
@@ -141,22 +162,24 @@ def fit(corpus: Corpus, grades: np.ndarray, use: np.ndarray, rounds: int = 150,
     The soft maximum over a text's sentences sharpens as learning goes on, so that the weights of sentences a text
     merely holds besides its worst one fade again.
     """
-    dims, n = 1 << corpus.bits, int(use.sum())
+    dims, n = len(corpus.active), int(use.sum())
+    if not n:
+        return OrdinalModel(np.zeros(1 << corpus.bits), np.asarray([50.0, 60.0]), corpus.bits)
     chosen = use[corpus.owner]
     owner, member = corpus.owner[chosen], corpus.member[chosen]
     place = np.cumsum(use) - 1
     owner, y = place[owner], np.asarray(grades)[use]
-    top = max(2, int(y.max()) if n else 2)
+    top = max(2, int(y.max()))
     positive = y[owner] > 0
     in_pos, in_neg = (np.bincount(member[m], minlength=corpus.count).astype(float) for m in (positive, ~positive))
-    f_pos, f_neg = (np.bincount(corpus.flat, weights=c[corpus.row], minlength=dims) for c in (in_pos, in_neg))
+    f_pos, f_neg = (corpus.by_feature(c) for c in (in_pos, in_neg))
     # First guess: how much more often a feature's sentences stand in abusive texts.
     prior = np.log((f_pos + 0.5) / (in_pos.sum() + 1)) - np.log((f_neg + 0.5) / (in_neg.sum() + 1))
     w = np.where(f_pos + f_neg > 1, np.clip(prior, -2, 2), 0.0) * 0.3
     theta = np.linspace(0.5, 1.0, top)
     state = [(w, np.zeros(dims), np.zeros(dims)), (theta, np.zeros(top), np.zeros(top))]
     above = (y[:, None] > np.arange(top)[None, :]).astype(float)  # texts x thresholds
-    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if n else np.zeros(0, int)
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     for step in range(1, rounds + 1):
         own = corpus.linear(w)[member]
         sharp = min(8.0, 0.5 + 12.0 * step / rounds)
@@ -167,32 +190,32 @@ def fit(corpus: Corpus, grades: np.ndarray, use: np.ndarray, rounds: int = 150,
         p = 1.0 / (1.0 + np.exp(np.clip(theta[None, :] - eta[:, None], -50, 50)))  # P(grade > k)
         error = (p - above) / n
         per_sentence = np.bincount(member, weights=a * error.sum(1)[owner], minlength=corpus.count) * corpus.scale
-        g_w = np.bincount(corpus.flat, weights=per_sentence[corpus.row], minlength=dims)
+        g_w = corpus.by_feature(per_sentence)
         w *= 1.0 - rate * decay
         for (value, m, v), grad in zip(state, (g_w, -error.sum(0))):
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
             value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
         theta.sort()
-    return OrdinalModel(w, theta, corpus.bits)
+    weights = np.zeros(1 << corpus.bits)
+    weights[corpus.active] = w
+    return OrdinalModel(weights, theta, corpus.bits)
 
 
 def fit_robust(texts: Sequence[str], grades: Sequence[int], bits: int = BITS, folds: int = 3, rounds: int = 60, passes: int = 3) -> OrdinalModel:
     """Fit after setting aside verdicts that look wrong: each text is judged by a model that has not seen it, and
-    texts whose verdict that model contradicts clearly do not enter the final fit."""
+    texts whose verdict that model contradicts clearly do not enter the final fit, unless all are contradicted."""
     corpus, y = Corpus(texts, bits), np.asarray(grades)
-    if len(texts) < 200:
-        return fit(corpus, y, np.ones(len(texts), bool))
     fold = np.asarray([zlib.crc32(t.encode()) % folds for t in texts])
     trusted = np.ones(len(texts), bool)
     for _ in range(passes):
         unseen = np.zeros(len(texts))
         for k in range(folds):
             model = fit(corpus, y, trusted & (fold != k), rounds)
-            worst = corpus.worst(model.weights)
+            worst = corpus.worst(model.weights[corpus.active])
             unseen[fold == k] = [model.severity(s) for s in worst[fold == k]]
         trusted = ~(((y > 0) & (unseen < 0.4)) | ((y == 0) & (unseen >= 1.0)))
-    return fit(corpus, y, trusted)
+    return fit(corpus, y, trusted if trusted.any() else np.ones(len(texts), bool))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, verdict: str, limit: int) -> DataFrame:
