@@ -86,3 +86,15 @@ def test_known_values_of_any_length():
     assert lattice.longest == 6 and lattice.reach == 4
     assert split(f"{value};包邮", lattice, {}) == [value, "包邮"]
     assert split(value, LATTICE, {}) == value.split(",")
+
+
+def test_learning_decides_with_the_defaults(spark):
+    """Signs that stand between values met in every company separate, a sign whose sides are never met apart does not."""
+    offers = [f"{a}{b}" for a in "满减券礼" for b in "甲乙丙丁戊"]
+    rows = [f"{offers[i % 20]};{offers[(7 * i + i // 20) % 20]}/{offers[(3 * i + i // 7) % 20]}" for i in range(2000)]
+    rows += [f"{offers[i % 20]};黑,白" for i in range(60)] + ["新人礼;首单减"] * 3
+    df = spark.createDataFrame(list(enumerate(rows)), "k long, v string")
+    got: dict[int, list[str]] = {}
+    for r in split_values(df, "k", "v").orderBy("k", "pos").collect():
+        got.setdefault(r.k, []).append(r.value)
+    assert list(got.values()) == [re.split("[;/]", t) for t in rows]
