@@ -6,9 +6,10 @@ compatibility forms, invisible characters, blanks, split accents and look-alike
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -85,6 +86,66 @@ def _statement(keep: Sequence[str], fields: Sequence[str]) -> str:
     return f"WITH {', '.join(sql)} SELECT {kept}, {', '.join(f'__x{i} AS {name(f + SUFFIX)}' for i, f in enumerate(fields))} FROM s{len(steps)}"
 
 
+def settled() -> str:
+    """A regular expression of the texts whose canonical form is the text itself without the spaces at its ends.
+
+    It asks for characters of the common blocks of Latin letters, signs and Han only, each of which no step changes and
+    none of which composes with another.
+    """
+    codes = [*range(0x20, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2028), *range(0x3001, 0x3030), *range(0x4E00, 0xA000)]
+
+    def kept(char: str) -> bool:
+        form = unicodedata.category(char)
+        return form[0] in "LNPS" and not unicodedata.decomposition(char).startswith("<") and unicodedata.normalize("NFC", char) == char and char not in SAME + NEAR
+
+    return "[" + "".join(re.escape(chr(c)) for c in codes if c == 0x20 or kept(chr(c))) + "]*"
+
+
+def plain_forms() -> dict[int, str]:
+    """For ``str.translate``: compatibility forms to plain characters, invisible characters to nothing, blanks to spaces."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    found = lambda chars: re.findall(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", chars), every)
+    one, many = compatibility_forms()
+    return str.maketrans(dict.fromkeys(found(INVISIBLE), "") | dict.fromkeys(found(BLANK), " ") | one | many)
+
+
+class Canonical:
+    """The canonical form of texts within a Python process.
+
+    Only texts that are not :func:`settled`, as they are or with :func:`plain_forms`, go through the SQL.
+    """
+
+    def __init__(self, statement: str, settled: str, plain: dict[int, str]) -> None:
+        self.statement, self.settled, self.plain = statement, re.compile(settled).fullmatch, plain
+        self.connection = None
+
+    @staticmethod
+    def plan() -> tuple[str, str, dict[int, str]]:
+        """The arguments, made once on the driver."""
+        return _statement(["text"], ["text"]), settled(), plain_forms()
+
+    def __call__(self, texts: Iterable[str | None]) -> list[str | None]:
+        texts, forms = list(texts), {}
+        for text in texts:
+            if text and not self.settled(text) and text not in forms:
+                plain = text.translate(self.plain)
+                forms[text] = plain.strip(" ") if self.settled(plain) else None
+        odd = [text for text, form in forms.items() if form is None]
+        if odd:
+            if self.connection is None:
+                import duckdb
+
+                self.connection = duckdb.connect(config={"threads": 1})
+                self.connection.execute("CREATE TABLE batch (text VARCHAR)")
+                self.connection.execute("PREPARE form AS " + self.statement)
+            self.connection.register("odd", pa.table({"text": pa.array(odd, pa.string())}))
+            self.connection.execute("DELETE FROM batch")
+            self.connection.execute("INSERT INTO batch SELECT text FROM odd")
+            self.connection.unregister("odd")
+            forms.update(self.connection.execute("EXECUTE form").fetchall())
+        return [text and (text.strip(" ") if (form := forms.get(text)) is None else form) for text in texts]
+
+
 def canonical(df: DataFrame, keep: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """The ``keep`` columns and, for each text field, ``<field>_canonical``, one row per input row.
 

@@ -24,13 +24,13 @@ import re
 from collections.abc import Iterator
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm import lookalikes, residue
-from loomstone.session import cut_lineage
+from loomstone.session import cut_lineage, once
 
 # Colour words of one meaning, by group; a shade is a group of its own.
 COLOURS = (
@@ -105,6 +105,7 @@ class Reader:
         self.skus: dict[str, tuple[str, str, str]] = {}
         self.titles: dict[str, tuple | None] = {}
         self.numbers: dict[str, int] = {}
+        self.sizes: dict[tuple[str, str], str] = {}
 
     def number(self, word: str) -> int:
         known = self.numbers.get(word)
@@ -114,15 +115,24 @@ class Reader:
             known = self.numbers[word] = number(word)
         return known
 
+    @staticmethod
+    def size(number: str, written: str) -> str:
+        """The kind of a size and its value in the base unit."""
+        unit = written.lower()
+        if written == "G" and number.isdigit() and int(number) >= 8 and int(number).bit_count() == 1:
+            unit = "gb"  # capacities of memories are powers of two
+        kind, factor = UNITS[unit]
+        return f"{kind}:{(Decimal(number) * Decimal(factor)).normalize():f}"
+
     def measures(self, text: str) -> tuple[str, str, str]:
         """Sizes and pieces, empty where the text names none, and the text without them."""
         sizes, pieces = [], ""
-        for m in _SIZE.finditer(text):
-            number, unit = m[1], m[2].lower()
-            if m[2] == "G" and number.isdigit() and int(number) >= 8 and int(number).bit_count() == 1:
-                unit = "gb"  # capacities of memories are powers of two
-            kind, factor = UNITS[unit]
-            sizes.append(f"{kind}:{(Decimal(number) * Decimal(factor)).normalize():f}")
+        for written in _SIZE.findall(text):
+            if (size := self.sizes.get(written)) is None:
+                if len(self.sizes) > 20_000:
+                    self.sizes.clear()
+                size = self.sizes[written] = self.size(*written)
+            sizes.append(size)
         if sizes:
             text = _SIZE.sub(" ", text)
         if m := _PIECES.search(text):
@@ -212,27 +222,29 @@ def offers(df: DataFrame, key: str, title: str, sku: str, seller: str, arrived:
     rest = [F.col(f"`{c}`").cast("string") for c in df.columns if c not in (key, arrived)]
     nulls = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in rest])
     rows = df.where(F.col(seller).isNotNull()).select(F.col(key).alias("_key"), F.xxhash64(F.col(seller)).alias("_seller"), F.array(F.xxhash64(nulls, *rest), F.xxhash64(F.lit(1), *rest)).alias("_row"), F.col(title).alias("_title"), F.col(sku).alias("_sku"))
-    wide = lookalikes.canonical(rows, ["_key", "_seller", "_row"], ["_title", "_sku"])
-    wide = wide.where(F.col("_title_canonical") != "")
+    plan = lookalikes.Canonical.plan()
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, canonical = Reader(), lookalikes.Canonical(*plan)
         for batch in batches:
-            found = [reader.numbered(a, b) for a, b in zip(batch["_title_canonical"], batch["_sku_canonical"])]
+            titles, skus = (canonical(batch[c].to_pylist()) for c in ("_title", "_sku"))
+            found = [reader.numbered(a, b) for a, b in zip(titles, skus)]
             keep = [i for i, x in enumerate(found) if x]
             if not keep:
                 continue
-            out = batch.iloc[keep][["_key", "_seller", "_row", "_title_canonical"]].reset_index(drop=True)
-            columns = dict(zip(("tokens", "list_id", "code", "han", "latin", "specs"), zip(*(found[i] for i in keep))))
-            yield out.assign(**{n: pd.Series(v, dtype=object if n == "tokens" else "Int64") for n, v in columns.items()})
+            tokens, *numbers = zip(*(found[i] for i in keep))
+            kept = batch.select(["_key", "_seller", "_row"]).take(pa.array(keep))
+            made = [pa.array([titles[i] for i in keep], pa.string()), pa.array(tokens, pa.list_(pa.int64())), *(pa.array(v, pa.int64()) for v in numbers)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *made], ["_key", "_seller", "_row", "_title_canonical", "tokens", "list_id", "code", "han", "latin", "specs"])
 
     kind = dict(df.dtypes)[key]
     schema = f"_key {kind}, _seller long, _row array<long>, _title_canonical string, tokens array<long>, list_id long, code long, han long, latin long, specs long"
-    read_rows = wide.mapInPandas(read, schema)
+    read_rows = rows.mapInArrow(read, schema)
     title = F.col("_title_canonical")
+    read_rows = once(read_rows, {"_parts": F.when(F.col("code").isNull(), residue.parts(title))}, read_rows.columns)
     # A title with a code is no message; what may be missing in it is a placeholder's value.
-    content = F.when(F.col("code").isNotNull(), ~residue.has_placeholder(title)).otherwise(residue.residue_kind(title).isNull())
-    return read_rows.where(content).drop("_title_canonical")
+    content = F.when(F.col("code").isNotNull(), ~residue.has_placeholder(title)).otherwise(residue.residue_kind(title, F.col("_parts")).isNull())
+    return read_rows.where(content).drop("_title_canonical", "_parts")
 
 
 def first_delivered(rows: DataFrame) -> DataFrame:
@@ -262,11 +274,15 @@ def weights(lists: DataFrame, names: DataFrame, prior: float = 8.0) -> DataFrame
     ``ln(lists / df)``. Information starts from two pairs of lists, steadiness
     from ``prior``, of which half agree. Han names of ``names`` come as tokens with the values of their Latin spelling.
     """
-    flat = lists.select("code", F.explode("tokens").alias("token")).join(names, F.col("token") == F.col("han"), "left")
-    counts = flat.groupBy(F.coalesce("_latin", "token").alias("token"), "code").agg(F.count("*").alias("n"))
-    sizes = counts.where(F.col("token") == F.col("code")).select("code", F.col("n").alias("_size"))
+    # A list holds its code once, so the lists of a code are counted before they are taken apart; lists without a code
+    # are dealt out by their tokens.
+    sized = lists.select("tokens", "code", F.coalesce("code", F.xxhash64("tokens")).alias("_key"))
+    sized = sized.withColumn("_size", F.count("code").over(Window.partitionBy("_key"))).withColumn("_size", F.when(F.col("code").isNotNull(), F.col("_size")))
+    flat = sized.select("_key", "code", "_size", F.explode("tokens").alias("token")).join(names, F.col("token") == F.col("han"), "left")
+    counts = flat.groupBy("_key", F.coalesce("_latin", "token").alias("token"), "code", "_size").agg(F.count("*").alias("n"))
+    sizes = lists.where("code is not null").groupBy("code").agg(F.count("*").alias("_size"))
     n, size = F.col("n"), F.col("_size")
-    each = counts.join(sizes, "code", "left").groupBy("token").agg(
+    each = counts.groupBy("token").agg(
         F.sum("n").alias("df"), F.sum(F.when(size.isNotNull(), n)).alias("_coded"), F.sum(F.when(size.isNotNull(), n * (n - 1))).alias("_same"), F.sum(n * (size - 1)).alias("_possible"),
         F.max(F.col("token") == F.col("code")).alias("_is_code"),
     )
@@ -319,19 +335,22 @@ def contained(sets: DataFrame, threshold: float) -> DataFrame:
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must lie in (0, 1]")
-    a, b = (sets.select(F.col("set_id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.col("_w").alias(f"{p}_w"), F.col("_set").alias(f"{p}_set")) for p in "ab")
+    a, b = (sets.select(F.col("set_id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.col("_w").alias(f"{p}_w"), F.col("_set")["token"].alias(f"{p}_tokens"), F.col("_set").alias(f"{p}_set")) for p in "ab")
     least = F.broadcast(sets.agg(F.min("_w").alias("_least")))  # one row
     part = lambda p: F.inline(F.transform(f"{p}_set", lambda t: F.struct(t["token"].alias("token"), t["w"].alias(f"_w{p}"), t["before"].alias(f"_before{p}"), t["after"].alias(f"_after{p}"))))
     # Prefix: the rarest shared token is one from which on there is weight enough.
     left = a.select("*", part("a")).where(F.col("a_w") - F.col("_beforea") >= threshold * F.col("a_w")).drop("_beforea")
-    right = b.crossJoin(least).select("*", part("b")).where(F.col("b_w") - F.col("_beforeb") >= threshold * F.col("_least")).drop("_wb", "_beforeb", "_least")
+    right = b.crossJoin(least).select("*", part("b")).where(F.col("b_w") - F.col("_beforeb") >= threshold * F.col("_least")).drop("_wb", "_beforeb", "_least", "b_set")
     enough = threshold * F.col("a_w")
     fuller = (F.col("b_w") > F.col("a_w")) | ((F.col("b_w") == F.col("a_w")) & (F.col("b_id") > F.col("a_id")))  # length
     met = left.join(right, "token").where(fuller & (F.col("_wa") + F.least("_aftera", "_afterb") >= enough))  # position
-    common = F.filter("a_set", lambda t: F.array_contains(F.col("b_set")["token"], t["token"]))
-    met = met.withColumn("_common", common).where((_weight(F.col("_common")) >= enough) & (F.col("_common")[0]["token"] == F.col("token")))
-    met = met.where(F.size(F.filter("a_set", lambda t: t["is_name"])) == F.size(F.filter("_common", lambda t: t["is_name"])))
-    return met.select("a_id", "b_id", "a_n", "b_n", (_weight(F.col("_common")) / F.col("a_w")).alias("held"))
+    met = met.where(F.get(F.array_intersect("a_tokens", "b_tokens"), F.lit(0)) == F.col("token"))
+    lost = F.filter("a_set", lambda t: ~F.array_contains("b_tokens", t["token"]))
+    ends = ["a_id", "b_id", "a_n", "b_n", "a_w"]
+    met = once(met, {"_lost": lost}, ends)
+    met = once(met, {"_common": F.col("a_w") - _weight(F.col("_lost")), "_nameless": F.exists("_lost", lambda t: t["is_name"])}, ends)
+    met = met.where((F.col("_common") >= enough) & ~F.col("_nameless"))
+    return met.select("a_id", "b_id", "a_n", "b_n", (F.col("_common") / F.col("a_w")).alias("held"))
 
 
 def stars(sets: DataFrame, links: DataFrame, lead: float = 0.8) -> DataFrame:
@@ -341,15 +360,14 @@ def stars(sets: DataFrame, links: DataFrame, lead: float = 0.8) -> DataFrame:
     it, where several do the one with at least ``lead`` of their listings; sets that fit several centres alike (a
     series of several models) form stars of their own.
     """
-    centres = sets.join(links, F.col("set_id") == F.col("a_id"), "left_anti").select("set_id")
-    votes = links.join(centres, F.col("b_id") == F.col("set_id"), "left_semi")
+    held = links.select(F.col("a_id").alias("set_id")).distinct()  # all but the centres
+    votes = links.join(held, F.col("b_id") == F.col("set_id"), "left_anti")
     best = votes.groupBy("a_id").agg(F.max_by("b_id", F.struct("b_n", "held", "b_id")).alias("b_id"), F.max("b_n").alias("_top"), F.sum("b_n").alias("_all"))
     joined = best.where(F.col("_top") >= lead * F.col("_all")).select(F.col("a_id").alias("set_id"), F.col("b_id").alias("product"))
-    rest = sets.select("set_id").join(centres.unionByName(joined.select("set_id")), "set_id", "left_anti")
+    rest = held.join(joined, "set_id", "left_anti")
     among = links.join(rest, F.col("a_id") == F.col("set_id"), "left_semi").join(rest, F.col("b_id") == F.col("set_id"), "left_semi")
-    own = among.groupBy("a_id").agg(F.max_by("b_id", F.struct("held", "b_n", "b_id")).alias("_own"))
-    alone = rest.join(own, F.col("set_id") == F.col("a_id"), "left").select("set_id", F.coalesce("_own", "set_id").alias("product"))
-    return centres.select("set_id", F.col("set_id").alias("product")).unionByName(joined).unionByName(alone)
+    own = among.groupBy(F.col("a_id").alias("set_id")).agg(F.max_by("b_id", F.struct("held", "b_n", "b_id")).alias("product"))
+    return sets.select("set_id").join(joined.unionByName(own), "set_id", "left").select("set_id", F.coalesce("product", "set_id").alias("product"))
 
 
 def classes(df: DataFrame, key: str, title: str, sku: str, seller: str, arrived: str, threshold: float = 0.75) -> DataFrame:
@@ -359,7 +377,7 @@ def classes(df: DataFrame, key: str, title: str, sku: str, seller: str, arrived:
     """
     read = cut_lineage(offers(df, key, title, sku, seller, arrived))
     distinct = cut_lineage(lists(read))
-    members = cut_lineage(token_sets(distinct, cut_lineage(weights(distinct, spellings(read)))))
+    members = cut_lineage(token_sets(distinct, weights(distinct, spellings(read))))
     sets = cut_lineage(placed(members.groupBy("set_id").agg(F.first("_set").alias("_set"), F.count("*").alias("n"))))
     product = members.select("list_id", "set_id").join(stars(sets, cut_lineage(contained(sets, threshold))), "set_id")
     found = first_delivered(read).join(product.select("list_id", "product"), "list_id")

@@ -57,3 +57,14 @@ def test_long_and_empty(spark):
     df = spark.createDataFrame([(1, "Рro " * 100_000)], "k long, v string")
     assert L.canonical(df, ["k"], ["v"]).first().v_canonical == ("Pro " * 100_000).strip()
     assert L.canonical(df.limit(0), ["k"], ["v"]).collect() == []
+
+
+def test_canonical_in_process(spark):
+    """The form made within a Python process is that of the SQL, also for texts that never reach the SQL."""
+    odd = ["", " ", " a ", None, "ＡＢ１２", "　米\xa0", "a​b", "été", "Ѕоny", "Рhone дом", "㎏", "ｶﾞ", "ᅠ", "ﾠx", "¨", "中­文", "ﬁn", "Åx", "각"]
+    probes = odd + [f"{p}{chr(c)}{s}" for c in [*range(0x20, 0x600), *range(0x2000, 0x2100), *range(0x3000, 0x3040), *range(0x4E00, 0x4E40), *range(0xFF00, 0xFFF0)] for p, s in (("", ""), (" a", " "), ("", "é中"))]
+    want = L.canonical(spark.createDataFrame(list(enumerate(probes)), "i long, t string"), ["i"], ["t"]).orderBy("i").collect()
+    form = L.Canonical(*L.Canonical.plan())
+    assert form(probes) == [r.t_canonical for r in want]
+    form.connection = None
+    assert form(["中文 Title", "ＡＢ１２ ", "a​b"]) == ["中文 Title", "AB12", "ab"] and form.connection is None
